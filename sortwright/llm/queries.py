@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, huffman, minhash, mixing, substring, toxicity
+from . import decontam, huffman, likelihood, minhash, mixing, oracles, reputation, secrets, substring, toxicity, winnow
 from ._stage import Workspace
 
 #: Where the public vocabulary is found, unless the caller says otherwise.
@@ -51,12 +51,41 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcome of a page is its label: good means of quality and not toxic."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.expr("quality = 1 and toxic = 0").alias("good")).where("good is not null")
+    return reputation.judge(table(spark, sf_dir, "pages"), labels).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted are the documents labelled as of quality and not toxic."""
+    return likelihood.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "contaminated")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.repeated_lines(table(spark, sf_dir, "documents"))
+    numbers = F.array_join(F.transform("removed", lambda i: i.cast("string")), ",")
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(numbers, 256).alias("removed_sha256"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    show = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["rule"] < len(secrets.BASE))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(r.kind) for r in secrets.BASE]
+    return found.select("doc_id", *counts, F.sha2(show(base), 256).alias("base_sha256"), show(F.col("spans")).alias("spans"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,11 +93,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_huffman_tokens, op2_source_mix, op3_substring_dedup, op4_toxicity, op5_minhash, op8_decontaminate, pipeline]
+    found = [op1_huffman_tokens, op2_source_mix, op3_substring_dedup, op4_toxicity, op5_minhash, op6_url_reputation, op7_quality, op8_decontaminate, op9_line_dedup, op10_secrets, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import oracles
-
     return dict(oracles.SQL)
