@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import zipfile
 from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
 
+def by_value(module: str) -> None:
+    """Classes of a module that Spark's helper processes on the driver read travel whole, not by name."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package's source to the executors, once for each application."""
     sc = spark.sparkContext
