@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType, TimestampType
 
 from ..runtime import by_value, ship
 from ..sources.listing import register
@@ -29,7 +29,7 @@ class Settle(StatefulProcessor):
         self.seconds, self.preset = seconds, preset or set()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("settle", StructType([StructField("sig", StringType()), StructField("since", TimestampType()), StructField("handled", BooleanType())]))
+        self.state = handle.getValueState("settle", StructType([StructField("sig", StringType()), StructField("since", DoubleType()), StructField("handled", BooleanType())]))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timer) -> Iterator[Row]:  # noqa: ANN001
         path = key[0]
@@ -43,9 +43,9 @@ class Settle(StatefulProcessor):
             elif handled:
                 continue
             elif sig != r["sig"]:
-                sig, since = r["sig"], at
-            elif (at - since).total_seconds() >= self.seconds:
-                out.append(Row(path=path, sig=sig, since=since, settled_at=at))
+                sig, since = r["sig"], at.timestamp()
+            elif at.timestamp() - since >= self.seconds:
+                out.append(Row(path=path, sig=sig, since=datetime.fromtimestamp(since, at.tzinfo), settled_at=at))
                 handled = True
         if sig is None and not handled:
             self.state.clear()
