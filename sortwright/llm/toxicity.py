@@ -50,7 +50,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.array(self.cuts) - x))
 
 
-def fit_ordinal(rows: list[list[int]], grades: np.ndarray, n_features: int, l2: float = 1.0, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: list[list[int]], grades: np.ndarray, n_features: int, l2: float = 0.3, steps: int = 600, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending cuts by full-batch Adam on the mean log-likelihood; cuts are kept in order by
     their first value and the logarithms of their gaps."""
     top = int(grades.max())
@@ -111,10 +111,10 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", doc_id: str =
     z = F.signum(a * n - F.col("df") * n_up) * F.sqrt(F.greatest(ratio, F.lit(0.0)))
     chosen = (
         seen.select((F.col("grade") > 0).cast("long").alias("up"), F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("up").alias("up"))
-        .where(F.col("df") >= MIN_DOCS).select("word", z.alias("z")).where(F.abs("z") >= MIN_Z).orderBy(F.desc(F.abs("z")), "word").limit(max_features).collect()
+        .where(F.col("df") >= MIN_DOCS).select("word", z.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(max_features).collect()
     )
     vocabulary = {bytes(r["word"]): i for i, r in enumerate(chosen)}
-    markers = {i for i, r in enumerate(chosen) if r["z"] > 0}
+    markers = set(vocabulary.values())
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
