@@ -6,6 +6,7 @@ import json
 import tempfile
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -31,6 +32,7 @@ class Organizer:
     state: str
     config_path: str | None = None
     stages: str = field(default="")
+    notify: Callable[[str], None] | None = None
 
     def __post_init__(self) -> None:
         Path(self.state).mkdir(parents=True, exist_ok=True)
@@ -139,6 +141,13 @@ class Organizer:
     def save_plan(self, plan: DataFrame, path: str) -> None:
         P.save({"destination": self.cfg.destination, "review_folder": self.cfg.review_folder, "when_unsure": self.cfg.when_unsure, "created": time.time(), "items": [r.asDict(True) for r in plan.collect()]}, path)
 
+    def report(self, plan: DataFrame) -> str:
+        """The plan as text, and how many items go where."""
+        return P.report([r.asDict(True) for r in plan.collect()])
+
+    def save_proposal(self, proposals: list[dict], path: str) -> None:
+        P.save({"created": time.time(), "groups": proposals}, path)
+
     def apply_saved(self, path: str | None = None, confirmed: bool = False) -> tuple[int, list[str]]:
         """Moves a saved plan, or the latest, and marks it applied; it needs the same confirmation."""
         if not confirmed:
@@ -201,7 +210,9 @@ class Organizer:
             P.apply(rows, f"{self.state}/journal/watch-{time.strftime('%Y%m%d')}.jsonl")
             asked = routed.where("route = 'asked'")
             if any(r["route"] == "asked" for r in rows):
-                self.enqueue(asked)
+                fresh = self.enqueue(asked)
+                if fresh and self.notify and self.cfg.watch.notify:
+                    self.notify(f"{fresh} file{'' if fresh == 1 else 's'} with an open question")
             done += [{"src": r["src"], "route": r["route"], "category": r["category"]} for r in rows]
         return done
 

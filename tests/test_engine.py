@@ -284,6 +284,11 @@ def test_moves_and_undo(tmp_path):
     assert P.undo(journal) == (1, []) and (inbox / "a.txt").read_text() == "a.txt" and not journal.exists()
 
 
+def test_report():
+    rows = [{"name": "a", "category": "A/B", "review": False, "confidence": 0.9, "reason": "r"}, {"name": "b", "category": "A/B", "review": True, "confidence": 0.5, "reason": ""}, {"name": "c", "category": None, "review": False, "confidence": 1.0, "reason": "rule"}]
+    assert P.report(rows).splitlines() == ["A/B", "  a  0.90  r", "(stays)", "  c  1.00  rule", "(unsure)", "  b  0.50", "1 to file, 1 unsure, 1 left"]
+
+
 def test_questions(spark):
     keys = iter(["x", "a", "2"])
     assert Q.ask(["A"], ["A", "B"], lambda p: next(keys)) == Q.Answer("file", "B")
