@@ -110,7 +110,12 @@ class Code:
         return out.T.reshape(-1)[:n]
 
 
-def _tokens(path: str, end_id: int, rows: int = 4096):
+def _width(path: str, end_id: int) -> str:
+    """Two bytes for an id on the way if the vocabulary allows it."""
+    return "<u2" if max(encoder(path).top, end_id) < 1 << 16 else "<u4"
+
+
+def _tokens(path: str, end_id: int, width: str, rows: int = 3072):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
@@ -118,45 +123,48 @@ def _tokens(path: str, end_id: int, rows: int = 4096):
             for i in range(0, len(batch), rows):
                 part = batch.slice(i, rows)
                 ids, at = own.encode(part.column("text"))
-                raw = np.insert(ids, at[1:], end_id).astype("<u4").tobytes()
-                at = (at + np.arange(len(at))) * 4
+                raw = np.insert(ids, at[1:], end_id).astype(width).tobytes()
+                at = (at + np.arange(len(at))) * int(width[-1])
                 column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw)])
                 yield pa.record_batch([part.column("doc_id"), column.cast(pa.binary())], names=["doc_id", "ids"])
 
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for i in range(0, len(batch), 256):
-            found = np.bincount(np.frombuffer(b"".join(batch.column("ids")[i : i + 256].to_pylist()), "<u4"))
-            if len(found) > len(total):
-                total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
-            total[: len(found)] += found
-    ids = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(ids, pa.int32()), pa.array(total[ids])], names=["id", "n"])
+def _count(width: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                found = np.bincount(np.frombuffer(b"".join(batch.column("ids")[i : i + 256].to_pylist()), width))
+                if len(found) > len(total):
+                    total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
+                total[: len(found)] += found
+        ids = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(ids, pa.int32()), pa.array(total[ids])], names=["id", "n"])
+
+    return run
 
 
-def _write(code: Code, block_ids: int):
+def _write(code: Code, block_ids: int, width: str):
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("payload", pa.binary()), ("marks", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, n, held, room = TaskContext.get().partitionId(), 0, [], 0
+        shard, n, held, room, each = TaskContext.get().partitionId(), 0, [], 0, int(width[-1])
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
+            ids = np.frombuffer(b"".join(x for _, x in held), width)
             payload, marks = code.encode(ids)
             return pa.record_batch(
-                [[shard], [n], [[d for d, _ in held]], [[len(x) // 4 for _, x in held]], [payload], pa.array([marks], pa.list_(pa.int32()))], schema=schema
+                [[shard], [n], [[d for d, _ in held]], [[len(x) // each for _, x in held]], [payload], pa.array([marks], pa.list_(pa.int32()))], schema=schema
             )
 
         for batch in batches:
             for doc, ids in zip(batch.column("doc_id"), batch.column("ids")):
                 held.append((doc.as_py(), ids.as_py()))
-                room += len(held[-1][1]) // 4
+                room += len(held[-1][1]) // each
                 if room >= block_ids:
                     yield flush()
                     n, held, room = n + 1, [], 0
@@ -202,16 +210,17 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, doc_id: str = "doc
     spark = docs.sparkSession
     work = Workspace(spark, "tokens")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    tokens = work.save(docs.mapInArrow(_tokens(vocabulary, end_id), "doc_id long, ids binary"), "ids")
+    width = _width(vocabulary, end_id)
+    tokens = work.save(docs.mapInArrow(_tokens(vocabulary, end_id, width), "doc_id long, ids binary"), "ids")
     # At most one row for each id of the vocabulary comes to the driver.
-    counts = tokens.select("ids").mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values("id")
+    counts = tokens.select("ids").mapInArrow(_count(width), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values("id")
     ids, n = counts["id"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
     bits = code_lengths(n, limit)
     spark.createDataFrame([(int(i), int(c), int(b)) for i, c, b in zip(ids, n, bits)], _CODE).coalesce(1).write.mode("overwrite").parquet(f"{path}/code")
     order = ["doc_id", "tie"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = tokens.withColumn("tie", F.xxhash64("ids")).repartitionByRange(parts, *order).sortWithinPartitions(*order, "ids")
-    dealt.select("doc_id", "ids").mapInArrow(_write(Code(ids, bits, limit), block_ids), _BLOCKS).write.mode("overwrite").parquet(f"{path}/blocks")
+    dealt.select("doc_id", "ids").mapInArrow(_write(Code(ids, bits, limit), block_ids, width), _BLOCKS).write.mode("overwrite").parquet(f"{path}/blocks")
     work.drop("ids")
 
 

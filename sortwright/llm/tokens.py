@@ -33,13 +33,14 @@ _MARK = np.array(0xFFFFFFFF, "<u4")
 class Encoder:
     """One per Python worker; see ``encoder``. The memo of pieces is emptied when full."""
 
-    def __init__(self, path: str, memo: int = 1_000_000) -> None:
+    def __init__(self, path: str, memo: int = 600_000) -> None:
         self.own = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)["model"]
         suffix = spec["end_of_word_suffix"]
         self.last = np.zeros(max(self.own.get_vocab_size(), max(spec["vocab"].values()) + 1), bool)
         self.last[[i for w, i in spec["vocab"].items() if w.endswith(suffix)]] = True
+        self.top = len(self.last) - 1
         # Pieces are normalised and cut already: the same model behind a split at spaces alone.
         self.cut = Tokenizer.from_file(path)
         self.cut.normalizer = normalizers.Sequence([])
@@ -96,10 +97,11 @@ class Encoder:
             return np.empty(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
         ids, begin = self._words(flat.dictionary.to_numpy(zero_copy_only=False).tolist())
         word = flat.indices.to_numpy()
+        begin = begin.astype(np.int32)
         size = np.diff(begin)[word]
-        end = np.cumsum(size)
+        end = np.cumsum(size, dtype=np.int32)
         at = np.concatenate([[0], end])[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        return ids[np.repeat(begin[word] - (end - size), size) + np.arange(end[-1])], at
+        return ids[np.repeat(begin[word] - (end - size), size) + np.arange(end[-1], dtype=np.int32)], at.astype(np.int64)
 
 
 _made: dict[str, Encoder] = {}
