@@ -83,7 +83,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents of the mix with all their columns, each as often as it is taken."""
+    """The documents of the mix with all their columns, each as often as it is taken; rows of one id equally often."""
     plan = mix(docs, doc_id=doc_id, **options).where("times > 0").groupBy("doc_id").agg(F.max("times").alias("times"))
     plan = plan.select(F.col("doc_id").alias("_mix_id"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_mix_time"))
     return docs.join(plan, docs[doc_id].cast("long").eqNullSafe(F.col("_mix_id"))).select(*[docs[c] for c in docs.columns])
