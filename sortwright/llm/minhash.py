@@ -132,8 +132,9 @@ def forest(nodes: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent:
     shared = np.bincount(group)[group] > 1
     owner, group = owner[shared], np.unique(group[shared], return_inverse=True)[1]
     common = np.zeros((n, n), np.float32)
-    wide = max(1, (1 << 22) // n)
-    for lo in range(0, int(group[-1]) + 1 if len(group) else 0, wide):
+    groups = int(group[-1]) + 1 if len(group) else 0
+    wide = max(1, min(groups, (1 << 22) // n))
+    for lo in range(0, groups, wide):
         s, e = np.searchsorted(group, [lo, lo + wide])
         has = np.zeros((n, wide), np.float32)
         has[owner[s:e], group[s:e] - lo] = 1
