@@ -354,6 +354,14 @@ def test_line_dedup(spark):
     assert text.first()[0] == "a\nc"
 
 
+def test_single_lines(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"menu\n{long}\nx", "s"), (2, f"a\nmenu\nb\n{long[:200]}\n{long[200:]}", "s"), (3, f"c\n{long}\nd\n{long[:200]}\n{long[200:]}\ne", "s"), (4, "only", "s"), (5, " only ", "s"), (6, "one\n\ntwo", "s"), (7, "one\ntwo", "s"), (None, "x", "s"), (8, None, "s")]
+    found = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["removed"]) for r in winnow.repeated_lines(frame(spark, rows), gram=1, span=1).collect()}
+    assert found == lines_by_force(rows, width=1)
+    assert found[2][2] == [1] and found[3][2] == [1, 3, 4] and found[5][1] == 1 and found[7][1] == 2
+
+
 # Secrets
 
 
