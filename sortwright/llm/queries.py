@@ -58,8 +58,9 @@ def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trusted are the documents labelled as of quality and not toxic."""
-    return likelihood.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0"))
+    """Trusted are the documents labelled as of quality and not toxic; the threshold is set by all labels of quality."""
+    labels = table(spark, sf_dir, "labels")
+    return likelihood.quality(table(spark, sf_dir, "documents"), labels.where("quality = 1 and toxic = 0"), judged=labels.select("doc_id", F.expr("quality = 1").alias("good")))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

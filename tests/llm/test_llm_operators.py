@@ -306,6 +306,13 @@ def test_quality(spark):
     assert none.where("score <> 0").count() == 0 and likelihood.quality(frame(spark, []), trusted).collect() == []
 
 
+def test_best_cut():
+    assert likelihood.best_cut({-90: (0, 3), -60: (0, 2), -20: (4, 0), 5: (9, 0)}) == -40
+    assert likelihood.best_cut({-90: (0, 3), -80: (1, 0), -60: (0, 2), -20: (4, 0)}) == -40
+    assert likelihood.best_cut({-90: (3, 0), -60: (2, 1)}) == -90 and likelihood.best_cut({1: (0, 4), 2: (1, 0)}) == 2
+    assert likelihood.best_cut({}) is None and likelihood.best_cut({1: (3, 0)}) is None and likelihood.best_cut({1: (0, 3)}) is None
+
+
 # Decontamination
 
 

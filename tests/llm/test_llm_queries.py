@@ -42,3 +42,9 @@ def test_quality_query(spark):
     labels = queries.table(spark, SMALL, "labels").where("quality = 1")
     clean = found.join(labels, "doc_id").where("not base_failed")
     assert clean.where("kept").count() == clean.count()
+
+
+def test_labelled_junk_is_rejected(spark):
+    found = queries.op7_quality(spark, "/root/testdata/sf0.01").where("not base_failed").join(queries.table(spark, "/root/testdata/sf0.01", "labels"), "doc_id")
+    assert found.where("quality = 0").count() > 20 and found.where("quality = 0 and kept").count() == 0
+    assert found.where("quality = 1 and not kept").count() == 0
