@@ -3,7 +3,8 @@
 Labelled page outcomes are counted by host; a host's rate of good pages is shrunk towards its registered
 domain's, that towards its suffix's, and that towards the overall rate. The strength of each
 prior is the beta-binomial moment estimate from the spread of rates at that level. A host is
-blocked when the upper bound of its posterior lies below ``floor``; stated rules come first.
+blocked when it has outcomes and the upper bound of its posterior lies below ``floor``; with ``inherit`` also
+when it has none but its suffix has; stated rules come first.
 
 Counts are summed per host before they move, and only host rows meet at domains and suffixes.
 
@@ -73,21 +74,24 @@ def _shrink(level: DataFrame) -> DataFrame:
     return level.crossJoin(F.broadcast(level.agg(_strength(level)))).withColumn("mean", (F.col("s") + F.col("k") * F.col("parent")) / (F.col("n") + F.col("k")))
 
 
-def hosts(counts: DataFrame, floor: float = FLOOR, z: float = Z) -> DataFrame:
-    """host, n, mean, upper and verdict from rows of host, n (outcomes) and s (good ones)."""
+def hosts(counts: DataFrame, floor: float = FLOOR, z: float = Z, inherit: bool = False) -> DataFrame:
+    """host, n, mean, upper and verdict from rows of host, n (outcomes) and s (good ones).
+
+    inherit: hosts without outcomes are judged by the posterior they have from their domain and suffix.
+    """
     counts = counts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
     domains = counts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     overall = suffixes.agg(((F.coalesce(F.sum("s"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("parent"))
     suffixes = _shrink(suffixes.crossJoin(F.broadcast(overall)))
-    domains = _shrink(domains.join(suffixes.select("suffix", F.col("mean").alias("parent")), "suffix"))
-    found = _shrink(counts.join(domains.select("domain", "suffix", F.col("mean").alias("parent")), ["domain", "suffix"]))
+    domains = _shrink(domains.join(suffixes.select("suffix", F.col("mean").alias("parent"), F.col("n").alias("near")), "suffix"))
+    found = _shrink(counts.join(domains.select("domain", "suffix", F.col("mean").alias("parent"), "near"), ["domain", "suffix"]))
     spread = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.col("k") + 1))
     upper = F.col("mean") + z * spread
-    return found.select("host", "n", "mean", upper.alias("upper"), F.when((F.col("n") > 0) & (upper < floor), "block").otherwise("allow").alias("verdict"))
+    return found.select("host", "n", "mean", upper.alias("upper"), F.when((F.col("near" if inherit else "n") > 0) & (upper < floor), "block").otherwise("allow").alias("verdict"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, page_id: str = "page_id", url: str = "url", outcome_id: str = "page_id", good: str = "good", rules: tuple = RULES, floor: float = FLOOR, z: float = Z) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, page_id: str = "page_id", url: str = "url", outcome_id: str = "page_id", good: str = "good", rules: tuple = RULES, floor: float = FLOOR, z: float = Z, inherit: bool = False) -> DataFrame:
     """One row per page: page_id, host, path, rule (null if none fits), verdict, and the host's mean and upper bound.
 
     outcomes: rows of a page's id and whether it is good (boolean).
@@ -96,6 +100,6 @@ def judge(pages: DataFrame, outcomes: DataFrame, page_id: str = "page_id", url:
     parsed = pages.select(F.col(page_id).cast("long").alias("page_id"), host_of(F.col(url).cast("string")).alias("host"), path_of(F.col(url).cast("string")).alias("path"))
     known = outcomes.where(F.col(good).isNotNull()).groupBy(F.col(outcome_id).cast("long").alias("page_id")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(good).cast("long")).alias("s"))
     counts = parsed.join(known, "page_id", "left").groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("s"), F.lit(0)).alias("s"))
-    table = work.save(hosts(work.save(counts, "counts"), floor, z), "hosts")
+    table = work.save(hosts(work.save(counts, "counts"), floor, z, inherit), "hosts")
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     return parsed.join(table, "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(action, F.col("verdict")).alias("verdict"), "mean", "upper")

@@ -279,6 +279,17 @@ def test_reputation(spark):
     assert reputation.judge(df, spark.createDataFrame([], "page_id long, good boolean")).where("rule is null and verdict = 'block'").count() == 0
 
 
+def test_reputation_of_unlabelled_hosts(spark):
+    pages = [(i, f"http://h{i % 4}.bad.biz/p{i}") for i in range(80)] + [(100 + i, f"http://h{i % 4}.fine.org/p{i}") for i in range(80)] + [(900, "http://new.bad.biz/x"), (901, "http://new.fine.org/x"), (902, "http://new.xyz/x")]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, i >= 100) for i, _ in pages if i < 900], "page_id long, good boolean")
+    verdicts = lambda **k: {r["page_id"]: r["verdict"] for r in reputation.judge(df, outcomes, **k).collect()}
+    found = verdicts(inherit=True)
+    assert (found[0], found[100], found[900], found[901], found[902]) == ("block", "allow", "block", "allow", "allow")
+    assert verdicts()[900] == "allow"
+    assert reputation.judge(df, outcomes.limit(0), inherit=True).where("verdict = 'block'").count() == 0
+
+
 # Quality
 
 
