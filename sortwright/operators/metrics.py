@@ -37,7 +37,7 @@ def leave_one_out(rows: DataFrame, key: str, label: str, k: int) -> DataFrame:
     """
     first = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(label).orderBy(key))).where(F.col("_rank") <= k + 1).groupBy(label).agg(F.array_sort(F.collect_list(key)).alias("_first"))
     others = F.slice(F.filter("_first", lambda x: x != F.col(key)), 1, k)
-    return rows.join(F.broadcast(first.limit(20_000)), label).select(key, F.explode(others).alias("example"))
+    return rows.join(first, label).select(key, F.explode(others).alias("example"))
 
 
 def latency(embed_seconds: Column, escalated: Column, n: Column, model_seconds: Column) -> Column:

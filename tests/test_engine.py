@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sortwright import config as C
 from sortwright import models as M
 from sortwright.functions import names, sniff, text, vectors
-from sortwright.operators import cascade, cluster, rank, rules
+from sortwright.operators import cascade, cluster, metrics, rank, rules
 from sortwright.plans import plan as P
 from sortwright.plans import questions as Q
 from sortwright.sources import extract as X
@@ -308,3 +308,9 @@ def test_models():
     assert json.loads(h.choose("- A: apples\n- B: pears", "pears here\n\nChoose one of: A, B", ["A", "B"]))["category"] == "B"
     assert M.prefixes("nomic-embed-text")[0] and M.prefixes("x") == ("", "")
     assert M.choice_schema(["A"])["properties"]["category"]["enum"] == ["A"] and list(M.choice_schema(["A"])["properties"]) == ["reason", "category"]
+
+
+def test_leave_one_out_of_many_labels(spark):
+    rows = spark.range(41_000).select("id", F.floor(F.col("id") / 2).alias("label"))
+    found = metrics.leave_one_out(rows, "id", "label", 2)
+    assert found.count() == 41_000 and found.where("example <> id + 1 - 2 * (id % 2)").count() == 0
