@@ -20,7 +20,7 @@ def first_rule(name: Column, rules: list) -> Column:
 
 def first_rule_join(entries: DataFrame, rules: DataFrame, name: str = "name") -> DataFrame:
     """The same for a table of rules (ord, regex, category, action), joined by its expressions."""
-    small = F.broadcast(rules.limit(1000))
+    small = F.broadcast(rules)
     hit = entries.join(small, F.rlike(F.lower(F.col(name)), F.col("regex")), "left")
     return hit.groupBy(*entries.columns).agg(F.min_by(F.struct("ord", "category", "action"), "ord").alias("rule"))
 
@@ -31,7 +31,7 @@ def not_ignored(name: Column, ignore: list[str]) -> Column:
 
 def without_owned(entries: DataFrame, owned: DataFrame, name: str = "name") -> DataFrame:
     """Drops the top-level names that the plan's own folders have."""
-    return entries.join(F.broadcast(owned.select(F.col(owned.columns[0]).alias(name)).limit(20_000)), name, "left_anti")
+    return entries.join(owned.select(F.col(owned.columns[0]).alias(name)), name, "left_anti")
 
 
 def visible_within(rel: Column, depth: int = 4) -> Column:

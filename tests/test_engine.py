@@ -20,6 +20,7 @@ from sortwright.operators import cascade, cluster, metrics, rank, rules
 from sortwright.plans import plan as P
 from sortwright.plans import questions as Q
 from sortwright.sources import extract as X
+from sortwright.sources import stores
 
 
 def one(spark, column):
@@ -314,3 +315,12 @@ def test_leave_one_out_of_many_labels(spark):
     rows = spark.range(41_000).select("id", F.floor(F.col("id") / 2).alias("label"))
     found = metrics.leave_one_out(rows, "id", "label", 2)
     assert found.count() == 41_000 and found.where("example <> id + 1 - 2 * (id % 2)").count() == 0
+
+
+def test_sides_are_not_cut(spark):
+    many = spark.range(0, 25_000, 1, 8).select(F.concat(F.lit("n"), "id").alias("category"))
+    assert rules.without_owned(many.select(F.col("category").alias("name")), many).count() == 0
+    assert stores.live(many, many).count() == 25_000
+    held = spark.range(0, 1_200, 1, 8).select(F.col("id").cast("int").alias("ord"), F.concat(F.lit("^r"), "id", F.lit("$")).alias("regex"), F.lit("c").alias("category"), F.lit("move").alias("action"))
+    found = rules.first_rule_join(spark.range(1_200).select(F.concat(F.lit("R"), "id").alias("name")), held)
+    assert found.where("rule.ord = cast(substring(name, 2) as int)").count() == 1_200
