@@ -115,13 +115,26 @@ def _width(path: str, end_id: int) -> str:
     return "<u2" if max(encoder(path).top, end_id) < 1 << 16 else "<u4"
 
 
-def _tokens(path: str, end_id: int, width: str, rows: int = 3072):
+#: Bytes of text, or of ids, that a Python step works on at once; a longer text goes alone.
+SLICE_BYTES = 1 << 20
+
+
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Stretches of a batch of about ``size`` bytes in one column."""
+    end = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    row = 0
+    while row < len(batch):
+        stop = max(row + 1, int(np.searchsorted(end, (end[row - 1] if row else 0) + size, "right")))
+        yield batch.slice(row, stop - row)
+        row = stop
+
+
+def _tokens(path: str, end_id: int, width: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            for i in range(0, len(batch), rows):
-                part = batch.slice(i, rows)
+            for part in slices(batch, "text"):
                 ids, at = own.encode(part.column("text"))
                 raw = np.insert(ids, at[1:], end_id).astype(width).tobytes()
                 at = (at + np.arange(len(at))) * int(width[-1])
@@ -135,8 +148,8 @@ def _count(width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                found = np.bincount(np.frombuffer(b"".join(batch.column("ids")[i : i + 256].to_pylist()), width))
+            for part in slices(batch, "ids"):
+                found = np.bincount(np.frombuffer(b"".join(part.column("ids").to_pylist()), width))
                 if len(found) > len(total):
                     total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
                 total[: len(found)] += found

@@ -2,14 +2,14 @@
 
 The vocabulary drops white space and marks word ends, so a text's ids are those of its pieces one
 after another. Pieces of plain characters are cut here by the vocabulary's own pattern and looked up in
-a bounded memo; those not in it are encoded by the tokenizers library, many at a time, and cut
+a memo bounded in bytes; those not in it are encoded by the tokenizers library, many at a time, and cut
 apart again at the word-end ids. Any word with other characters (combining marks, rare
-letters, special tokens) goes through the library whole.
+letters, special tokens) goes through the library whole. One tokenizer is held; it works on
+slices of about a megabyte of text, so memory follows the slice or the longest text.
 """
 
 from __future__ import annotations
 
-import json
 import re
 import unicodedata
 
@@ -18,6 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+from ._worker import held
+
 _TOP = 0x250
 _plain = [chr(c) for c in range(0x21, _TOP) if not 0x7F <= c <= 0xA0 and c not in (0xAD, 0x130)]
 _pick = lambda kind: "".join(re.escape(c) for c in _plain if unicodedata.category(c)[0] == kind)
@@ -28,33 +30,33 @@ _PIECE_OR_END = re.compile(_PIECE.pattern + "|\n")
 _ODD = re.compile("[^\t-\r " + "".join(re.escape(c) for c in _plain) + "]|<\\|")
 #: Stands for the end of a word among its ids.
 _MARK = np.array(0xFFFFFFFF, "<u4")
+#: What the memo of a worker may hold.
+MEMO_BYTES = 48 << 20
 
 
 class Encoder:
-    """One per Python worker; see ``encoder``. The memo of pieces is emptied when full."""
+    """One per Python worker; see ``encoder``. The memo of pieces is emptied when it holds ``memo`` bytes."""
 
-    def __init__(self, path: str, memo: int = 600_000) -> None:
+    def __init__(self, path: str, memo: int = MEMO_BYTES) -> None:
         self.own = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)["model"]
-        suffix = spec["end_of_word_suffix"]
-        self.last = np.zeros(max(self.own.get_vocab_size(), max(spec["vocab"].values()) + 1), bool)
-        self.last[[i for w, i in spec["vocab"].items() if w.endswith(suffix)]] = True
-        self.top = len(self.last) - 1
-        # Pieces are normalised and cut already: the same model behind a split at spaces alone.
-        self.cut = Tokenizer.from_file(path)
-        self.cut.normalizer = normalizers.Sequence([])
-        self.cut.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix, size = self.own.model.end_of_word_suffix, self.own.get_vocab_size()
+        self.top = size - 1
+        self.last = np.fromiter(((self.own.id_to_token(i) or "").endswith(suffix) for i in range(size)), bool, size)
+        # Pieces are normalised and cut already: for them the same tokenizer splits at spaces alone.
+        self.plain = (normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]))
+        self.usual = (self.own.normalizer, self.own.pre_tokenizer)
         self.pieces: dict[str, bytes] = {}
-        self.room = memo
+        self.room, self.used = memo, 0
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        for i in range(0, len(new), 512):
-            part = new[i : i + 512]
-            ids = np.array(self.cut.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        self.own.normalizer, self.own.pre_tokenizer = self.plain
+        parts = [new[i : i + 512] for i in range(0, len(new), 512)]
+        found = [np.array(self.own.encode_batch_fast([" ".join(p)], add_special_tokens=False)[0].ids, "<u4") for p in parts]
+        self.own.normalizer, self.own.pre_tokenizer = self.usual
+        for part, ids in zip(parts, found):
             cut = (np.flatnonzero(self.last[ids]) + 1) * 4
             if len(cut) != len(part):
                 self.pieces.update((p, self._whole(p)) for p in part)
@@ -63,11 +65,14 @@ class Encoder:
             for p, end in zip(part, cut.tolist()):
                 self.pieces[p] = raw[begin:end]
                 begin = end
+        # An entry of the memo takes some 200 bytes beside its text and ids.
+        self.used += sum(200 + 2 * len(p) + len(self.pieces[p]) for p in new)
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct words one after another, and where those of each begin."""
-        if len(self.pieces) > self.room:
+        if self.used > self.room:
             self.pieces.clear()
+            self.used = 0
         text = "\n".join(words)
         odd = {i: self._whole(w) for i, w in enumerate(words) if _ODD.search(w)} if _ODD.search(text) else {}
         if odd:
@@ -104,11 +109,5 @@ class Encoder:
         return ids[np.repeat(begin[word] - (end - size), size) + np.arange(end[-1], dtype=np.int32)], at.astype(np.int64)
 
 
-_made: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _made:
-        _made.clear()
-        _made[path] = Encoder(path)
-    return _made[path]
+    return held("encoder", path, lambda: Encoder(path))
