@@ -2,13 +2,18 @@
 
 Texts are handled in blocks of about a megabyte, read straight from Arrow
 buffers, so memory follows the block (or the longest single text), not the batch.
-Hashes are 64 bits in each of two independent lanes.
+
+A word has 128 bits, in two lanes. Words of at most 15 bytes are numbered one to one: their bytes and
+length go through a permutation of the 128-bit integers, so no two of them agree in both lanes.
+Longer ones have 128 bits of blake2b, which nobody can make to agree. Windows mix the lanes of
+their words separately.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +29,10 @@ NOT_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(0, 1 << 64, size=(2, 256), dtype=np.uint64)
-_BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Longest word whose bytes fit the two lanes beside its length.
+SHORT = 15
+_ROUNDS = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0x27D4EB2F165667C5))
 _STEP = ((U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)), (U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3)))
-_powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,16 +45,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(lane: int, inverse: bool, n: int) -> np.ndarray:
-    have = _powers.get((lane, inverse))
-    if have is None or len(have) < n:
-        base = pow(_BASE[lane], -1, 1 << 64) if inverse else _BASE[lane]
-        have = np.full(max(n, BLOCK_BYTES + 1), U(base))
-        have[0] = U(1)
-        have = np.multiply.accumulate(have)
-        if len(have) <= 4 * BLOCK_BYTES:
-            _powers[lane, inverse] = have
-    return have[:n]
+def word_lanes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both lanes of the words at the given places of a byte array."""
+    size = ends - starts
+    at = np.arange(16)
+    bytes_ = np.concatenate([data, np.zeros(16, np.uint8)])[starts[:, None] + at]
+    bytes_ *= at < np.minimum(size, SHORT)[:, None]
+    bytes_[:, SHORT] = np.minimum(size, SHORT + 1)
+    halves = bytes_.view("<u8")
+    left, right = halves[:, 0].astype(U), halves[:, 1].astype(U)
+    long = np.flatnonzero(size > SHORT)
+    if len(long):
+        raw = data.tobytes()
+        digests = b"".join([hashlib.blake2b(raw[s:e], digest_size=16).digest() for s, e in zip(starts[long].tolist(), ends[long].tolist())])
+        both = np.frombuffer(digests, "<u8").reshape(-1, 2)
+        left[long], right[long] = both[:, 0], both[:, 1]
+    for key in _ROUNDS:
+        left, right = right, left ^ mix(right ^ key)
+    return left, right
 
 
 @dataclass
@@ -63,6 +75,7 @@ class Block:
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray
+    lanes: tuple[np.ndarray, np.ndarray] | None = field(default=None)
 
     def __len__(self) -> int:
         return len(self.bounds) - 1
@@ -71,14 +84,9 @@ class Block:
         return self.data[self.bounds[d] : self.bounds[d + 1]].tobytes()
 
     def words(self, lane: int) -> np.ndarray:
-        if not len(self.starts):
-            return np.empty(0, U)
-        sums = np.zeros(len(self.data) + 1, U)
-        part = _BYTE[lane][self.data]
-        part *= _power(lane, False, len(self.data))
-        np.cumsum(part, out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * _power(lane, True, len(self.data))[self.starts]
-        return mix(h + (self.ends - self.starts).astype(U) * _STEP[lane][0])
+        if self.lanes is None:
+            self.lanes = word_lanes(self.data, self.starts, self.ends)
+        return self.lanes[lane]
 
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self)), np.diff(self.first))

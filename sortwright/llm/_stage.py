@@ -50,7 +50,34 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
+        self.remove(self.spark, f"{self.path}/{name}")
+
+    @staticmethod
+    def remove(spark: SparkSession, path: str) -> None:
         """Deletes a staged table through Hadoop's file system, so any shared store works."""
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _system(spark, path)[0].delete(_system(spark, path)[1], True)
+
+
+def _system(spark: SparkSession, path: str):  # noqa: ANN202
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file beside its final name and renames it, so that a reader sees the old or the new one."""
+    fs, target = _system(spark, path)
+    _, draft = _system(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(target, False)
+    fs.rename(draft, target)
+
+
+def read_file(spark: SparkSession, path: str) -> str:
+    fs, target = _system(spark, path)
+    stream = fs.open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()

@@ -5,29 +5,37 @@ of the ``ANCHOR`` -word pieces inside it, its fingerprint; equal windows have eq
 fingerprints, and neighbours mostly share theirs, so an index of fingerprints is
 some fifteen times smaller than one of windows and still misses none.
 
-``FingerprintIndex`` keeps immutable runs sorted by fingerprint. A batch is merge-joined with
-the runs of known texts, so that only new texts add fingerprints; its own counts become
-another run; runs are compacted by summing counts once there are ``fan_in`` of them.
-``repeated_words`` verifies: windows whose fingerprint recurs are compared by two
-independent 64-bit hashes of all their words.
+``FingerprintIndex`` lives in a folder and outlasts its session. Its runs are immutable, bucketed and sorted by
+their key: texts (digest) and fingerprints (how often, and whose if of one text). ``add`` merge-joins a new
+batch with all runs, bucket by bucket, without moving them; a fingerprint that now stands twice makes
+candidates of the batch's texts that hold it and of its one earlier owner; only candidates are read
+again, and the hashes of their windows written down. Once there are ``fan_in`` runs of a kind they are
+compacted into one by summing counts. ``report`` cuts the windows that stand twice from the texts that hold them.
+
+Windows are told apart by 128 bits; words of at most 15 bytes are one to one in them (see ``_blocks``).
 
 Defined cases: a null text has no words; texts shorter than a window lose nothing; rows with
 the same text, however many and under whatever id (null too), get the same answer; other
-columns are ignored, whatever their names; an empty table gives an empty result.
+columns are ignored, whatever their names; an empty table gives an empty result. Texts are handled whole,
+one that exceeds a block alone in its block. Adding the same rows twice counts them as copies.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship
 from . import _blocks as B
-from ._stage import Workspace
+from ._skew import join_counted
+from ._stage import Workspace, read_file, write_file
 
 WIDTH = 35
 ANCHOR = 8
@@ -55,8 +63,11 @@ def _digests(width: int):
                     n_words.append(int(e - s))
                     e = max(s, e - width + 1)
                     anchors.append(np.unique(prints[s:e]))
-                    values, inverse, count = np.unique(whole[s:e], return_inverse=True, return_counts=True)
-                    own.append(np.unique(prints[s:e][count[inverse] > 1]) if len(values) < e - s else values[:0])
+                    ordered = np.sort(whole[s:e])
+                    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+                    own.append(np.unique(prints[s:e][np.isin(whole[s:e], twice)]) if len(twice) else twice)
+            if not digest:
+                continue
             yield pa.record_batch([batch.column("doc_id"), pa.array(digest, pa.binary()), pa.array(n_words, pa.int64()), pa.array(sha, pa.string()), B.lists(anchors), B.lists(own)], schema=schema)
 
     return run
@@ -66,81 +77,208 @@ _DIGESTS = "doc_id long, digest binary, n_words long, kept_sha256 string, anchor
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of fingerprints and of the texts they came from."""
-
-    def __init__(self, work: Workspace, fan_in: int = 4) -> None:
-        self.work, self.fan_in, self.made = work, fan_in, 0
-        self.prints: list[tuple[str, DataFrame]] = []
-        self.texts: list[tuple[str, DataFrame]] = []
-
-    def _run(self, kind: str, df: DataFrame, key: str) -> tuple[str, DataFrame]:
+    """Sorted immutable runs of texts and fingerprints, and the windows of candidates."""
+
+    SCHEMA = {"texts": "digest binary, doc_id long, n long", "prints": "print long, n long, owner binary", "windows": "digest binary, a long, b long, n long"}
+    KEYS = {"texts": ["digest"], "prints": ["print"]}
+
+    def __init__(self, spark: SparkSession, path: str, width: int = WIDTH, fan_in: int = 4) -> None:
+        """A new index; ``open`` continues one."""
+        if width <= ANCHOR:
+            raise ValueError(f"a window needs more than {ANCHOR} words")
+        ship(spark)
+        self.spark, self.path, self.width, self.fan_in, self.made = spark, path.rstrip("/"), width, fan_in, 0
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs: dict[str, list[str]] = {"texts": [], "prints": [], "windows": []}
+        self.work = Workspace(spark, "substring-index")
+        self.names: dict[str, str] = {}
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        held = json.loads(read_file(spark, f"{path.rstrip('/')}/manifest.json"))
+        index = cls(spark, path, held["width"], held["fan_in"])
+        index.made, index.buckets, index.runs = held["made"], held["buckets"], held["runs"]
+        return index
+
+    def _commit(self) -> None:
+        """A run counts once the manifest names it; what an interrupted ``add`` wrote is never read."""
+        held = {"width": self.width, "fan_in": self.fan_in, "made": self.made, "buckets": self.buckets, "runs": self.runs}
+        write_file(self.spark, f"{self.path}/manifest.json", json.dumps(held))
+
+    def _run(self, kind: str, df: DataFrame) -> str:
         self.made += 1
-        name = f"{kind}-{self.made:05d}"
-        return name, self.work.save(df.sortWithinPartitions(key), name)
-
-    @staticmethod
-    def _merge(runs: list[tuple[str, DataFrame]], key: str) -> DataFrame:
-        out = runs[0][1]
-        for _, more in runs[1:]:
-            out = out.unionByName(more)
-        return out.groupBy(key).agg(F.sum("n").alias("n")) if len(runs) > 1 else out
-
-    def add(self, batch: DataFrame) -> None:
-        """Indexes a batch with columns digest, anchors and own."""
-        texts = batch.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.first("anchors").alias("anchors"), F.first("own").alias("own"))
-        new = texts
-        for _, known in self.texts:
-            new = new.join(known.select("digest"), "digest", "left_anti")
-        prints = new.select(F.explode(F.concat("anchors", "own")).alias("print")).groupBy("print").agg(F.count(F.lit(1)).alias("n"))
-        run = self._run("prints", prints, "print")
-        self.texts.append(self._run("texts", texts.select("digest", "n"), "digest"))
-        self.prints.append(run)
-        if len(self.prints) >= self.fan_in:
-            self.compact()
-
-    def compact(self) -> None:
-        for kind, key in (("prints", "print"), ("texts", "digest")):
-            runs = getattr(self, kind)
-            if len(runs) > 1:
-                setattr(self, kind, [self._run(kind, self._merge(runs, key), key)])
-                for name, _ in runs:
-                    self.work.drop(name)
-
-    def recurring(self) -> DataFrame:
-        """Fingerprints that stand at more than one place."""
-        return self._merge(self.prints, "print").where("n > 1").select("print")
-
-    def copies(self) -> DataFrame:
-        return self._merge(self.texts, "digest").select("digest", F.col("n").alias("copies"))
+        name = f"{kind}-{self.made:05d}-{uuid.uuid4().hex[:8]}"
+        path = f"{self.path}/{name}"
+        if kind == "windows":
+            df.write.parquet(path)
+        else:
+            keys = self.KEYS[kind]
+            table = f"run_{uuid.uuid4().hex}"
+            # One task writes each bucket, so a bucket is one sorted file.
+            df.repartition(self.buckets, *keys).sortWithinPartitions(*keys).write.bucketBy(self.buckets, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(table)
+            self.names[name] = table
+        return name
+
+    def _plain(self, kind: str, name: str) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA[kind]).parquet(f"{self.path}/{name}")
+
+    def _sorted(self, kind: str, name: str) -> DataFrame:
+        """The run as a bucketed table, which joins by its key where it lies."""
+        if name not in self.names:
+            table, keys = f"run_{uuid.uuid4().hex}", ", ".join(self.KEYS[kind])
+            self.spark.sql(f"CREATE TABLE {table} ({self.SCHEMA[kind]}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+            self.names[name] = table
+        return self.spark.table(self.names[name])
+
+    def _all(self, kind: str) -> DataFrame | None:
+        out = None
+        for name in self.runs[kind]:
+            out = self._plain(kind, name) if out is None else out.unionByName(self._plain(kind, name))
+        return out
+
+    def _merged(self, kind: str) -> DataFrame:
+        """All runs of a kind as one: counts are summed, of owners and ids the smallest stays."""
+        more = {"texts": [F.min("doc_id").alias("doc_id"), F.sum("n").alias("n")], "prints": [F.sum("n").alias("n"), F.min("owner").alias("owner")]}[kind]
+        found = self._all(kind)
+        if found is None:
+            return self.spark.createDataFrame([], self.SCHEMA[kind])
+        return found.groupBy(*self.KEYS[kind]).agg(*more) if len(self.runs[kind]) > 1 else found
+
+    def _probe(self, kind: str, rows: DataFrame) -> DataFrame | None:
+        """The rows of all runs whose key is among those of ``rows``, by one merge join a run."""
+        out = None
+        for name in self.runs[kind]:
+            hit = self.work.save(self._sorted(kind, name).join(rows.select(*self.KEYS[kind]), self.KEYS[kind], "left_semi"), f"hits-{name}")
+            out = hit if out is None else out.unionByName(hit)
+        return out
+
+    def add(self, batch: DataFrame, corpus: DataFrame) -> DataFrame:
+        """Adds a batch of digests (see ``digests``). corpus: doc_id and text of the batch and of all added before.
+
+        Returns the candidates that were read: digest, doc_id and prints.
+        """
+        self.work = Workspace(self.spark, "substring-batch")
+        texts = batch.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.first("anchors").alias("anchors"), F.first("own").alias("own"))
+        texts = self.work.save(texts, "texts")
+        known = self._probe("texts", texts)
+        new = texts if known is None else texts.join(known.select("digest"), "digest", "left_anti")
+        held = new.select("digest", "doc_id", F.explode("anchors").alias("print"), "own").select("digest", "doc_id", "print", F.array_contains("own", F.col("print")).cast("long").alias("again"))
+        run = self._run("prints", held.groupBy("print").agg(F.sum(1 + F.col("again")).alias("n"), F.min("digest").alias("owner")))
+        mine = self._sorted("prints", run)
+
+        before = self._probe("prints", mine)
+        if before is None:
+            recurring = mine.select("print", "n", F.lit(None).cast("binary").alias("owner")).where("n > 1")
+        else:
+            before = before.groupBy("print").agg(F.sum("n").alias("old"), F.min("owner").alias("whose"))
+            recurring = mine.join(before, "print", "left").where("n + coalesce(old, 0) > 1").select("print", "n", F.expr("CASE WHEN old = 1 THEN whose END").alias("owner"))
+        recurring = self.work.save(recurring, "recurring")
+        places = held.select("digest", "doc_id", "print")
+        hit = join_counted(places, recurring.select("print", "n"), ["print"], "n", batch.count()).select("digest", "doc_id", "print")
+        # The batch's own texts are no run yet, so owners are looked up in the earlier ones alone.
+        owners = recurring.where("owner is not null").select(F.col("owner").alias("digest"), "print")
+        for name in self.runs["texts"]:
+            hit = hit.unionByName(self._sorted("texts", name).select("digest", "doc_id").join(owners, "digest").select("digest", "doc_id", "print"))
+        candidates = hit.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.collect_set("print").alias("prints"))
+        candidates = self.work.save(candidates, "candidates")
+
+        windows = self._run("windows", texts_of(corpus, candidates).mapInArrow(_windows(self.width), self.SCHEMA["windows"]))
+        self.runs["windows"].append(windows)
+        self.runs["prints"].append(run)
+        self.runs["texts"].append(self._run("texts", texts.select("digest", "doc_id", "n")))
+        self._commit()
+        for name in ("texts", "recurring"):
+            self.work.drop(name)
+        for kind in self.KEYS:
+            if len(self.runs[kind]) >= self.fan_in:
+                self.compact(kind)
+        return candidates
+
+    def compact(self, kind: str) -> None:
+        """Merges the runs of a kind into one; the old ones go when the manifest no longer names them."""
+        old = self.runs[kind]
+        if len(old) > 1:
+            self.runs[kind] = [self._run(kind, self._merged(kind))]
+            self._commit()
+            for name in old:
+                Workspace.remove(self.spark, f"{self.path}/{name}")
+
+    def close(self) -> None:
+        """Takes this session's table names out of the catalogue; the runs stay."""
+        for table in self.names.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self.names.clear()
+
+    def report(self, corpus: DataFrame) -> DataFrame:
+        """digest, copies, n_cut, cut_sha256 and cuts of each known text; the last three are null where nothing is cut.
+
+        A text that stands more than once is cut whole by whoever reads this, so it is not read here.
+        """
+        work = Workspace(self.spark, "substring-report")
+        texts = self._merged("texts")
+        # A text is a candidate for a fingerprint once, so each of its windows is written down once.
+        places = self._all("windows")
+        if places is None:
+            places = self.spark.createDataFrame([], self.SCHEMA["windows"])
+        repeated = work.save(places.groupBy("a", "b").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m")).where("n > 1").select("a", "b", "m"), "repeated")
+        hits = join_counted(places.select("digest", "a", "b"), repeated, ["a", "b"], "m", places.count()).groupBy("digest").agg(F.collect_list(F.struct("a", "b")).alias("w"))
+        hits = hits.join(texts.where("n = 1").select("digest", "doc_id"), "digest").select("digest", "doc_id", F.col("w.a").alias("one"), F.col("w.b").alias("two"))
+        hits = work.save(hits, "hits")
+        cut = texts_of(corpus, hits).mapInArrow(_cut(self.width), "digest binary, n_cut long, cut_sha256 string, cuts array<struct<start:int,end:int>>")
+        return texts.select("digest", F.col("n").alias("copies")).join(cut, "digest", "left")
+
+
+def texts_of(corpus: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (digest, doc_id and more) with the text of one row of each; copies of a text move by their own ids."""
+    at = F.coalesce("doc_id", F.lit(-1)).alias("at")
+    rows = corpus.select(at, F.unhex(F.md5("text")).alias("digest"), "text")
+    found = rows.join(wanted.withColumn("at", at).drop("doc_id"), ["at", "digest"])
+    return found.dropDuplicates(["at", "digest"]).drop("at")
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs and how often each stands."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.empty(0, np.int64)
+    return a[first], b[first], np.diff(np.append(first, len(a)))
+
+
+def among(a: np.ndarray, b: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which pairs (a, b) are among the pairs (one, two); both lanes count."""
+    order = np.lexsort((two, one))
+    one, two = one[order], two[order]
+    low, high = np.searchsorted(one, a, "left"), np.searchsorted(one, a, "right")
+    out = np.zeros(len(a), bool)
+    for k in range(int((high - low).max(initial=0))):
+        some = np.flatnonzero(low + k < high)
+        out[some] |= two[low[some] + k] == b[some]
+    return out
 
 
 def _windows(width: int):
-    """Rows for the distinct windows whose fingerprint is listed, with how often each starts."""
+    """Rows for the distinct windows whose fingerprint is listed, with how often each starts in its text."""
     schema = pa.schema([("digest", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, listed = B.of_list(batch.column("prints"))
-            copies = np.asarray(batch.column("copies"))
-            rows, one, two, times = [], [], [], []
             for b in B.blocks(batch.column("text")):
                 h = b.words(0)
                 if len(h) < width:
                     continue
                 prints = B.sliding_min(B.windows(h, ANCHOR), width - ANCHOR + 1)
                 first, second = B.windows(h, width), B.windows(b.words(1), width, 1)
+                rows, parts = [], []
                 for d in range(len(b)):
                     r = b.row + d
                     s, e = b.first[d], max(b.first[d], b.first[d + 1] - width + 1)
                     hit = s + np.flatnonzero(np.isin(prints[s:e], listed[at[r] : at[r + 1]]))
-                    values, index, count = np.unique(first[hit], return_index=True, return_counts=True)
-                    rows.append(np.full(len(values), r))
-                    one.append(values)
-                    two.append(second[hit[index]])
-                    times.append(np.maximum(count, copies[r]))
-            if rows:
+                    parts.append(_pairs(first[hit], second[hit]))
+                    rows.append(np.full(len(parts[-1][0]), r))
+                one, two, times = (np.concatenate(x) for x in zip(*parts))
                 digest = batch.column("digest").take(pa.array(np.concatenate(rows)))
-                yield pa.record_batch([digest, pa.array(np.concatenate(one).view(np.int64)), pa.array(np.concatenate(two).view(np.int64)), pa.array(np.concatenate(times).astype(np.int64))], schema=schema)
+                yield pa.record_batch([digest, pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(times.astype(np.int64))], schema=schema)
 
     return run
 
@@ -150,14 +288,16 @@ def _cut(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, listed = B.of_list(batch.column("hashes"))
+            at, one = B.of_list(batch.column("one"))
+            _, two = B.of_list(batch.column("two"))
             n_cut, sha, cuts = [], [], []
             for b in B.blocks(batch.column("text")):
-                whole = B.windows(b.words(0), width)
+                first, second = B.windows(b.words(0), width), B.windows(b.words(1), width, 1)
                 for d in range(len(b)):
                     r = b.row + d
                     s, e = b.first[d], b.first[d + 1]
-                    hit = np.isin(whole[s : max(s, e - width + 1)], listed[at[r] : at[r + 1]])
+                    stop, own = max(s, e - width + 1), slice(at[r], at[r + 1])
+                    hit = among(first[s:stop], second[s:stop], one[own], two[own])
                     edge = np.zeros(e - s + 1, np.int64)
                     edge[: len(hit)] += hit
                     edge[width : width + len(hit)] -= hit
@@ -172,56 +312,38 @@ def _cut(width: int):
     return run
 
 
+def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """doc_id, digest, n_words, kept_sha256, anchors (the fingerprints) and own (those of windows that stand twice in the text)."""
+    ship(docs.sparkSession)
+    return _keys(docs, doc_id, text).mapInArrow(_digests(width), _DIGESTS)
+
+
 def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, batch_of: Column | None = None, n_batches: int = 1) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 and ``cuts``, the removed
     ranges of word positions. A word goes if a window over it also starts anywhere else.
 
     batch_of: the number of the arriving batch of each row, 0 to n_batches - 1.
     """
-    if width <= ANCHOR:
-        raise ValueError(f"a window needs more than {ANCHOR} words")
     spark = docs.sparkSession
     work = Workspace(spark, "substring")
+    index = FingerprintIndex(spark, f"{work.path}/index", width)
+    seen = work.save(digests(docs, doc_id, text, width), "digests")
     docs = _keys(docs, doc_id, text)
-    seen = work.save(docs.mapInArrow(_digests(width), _DIGESTS), "digests")
-    index = FingerprintIndex(work)
     for i in range(n_batches):
-        index.add(seen if n_batches == 1 else seen.where((batch_of if batch_of is not None else F.pmod(F.xxhash64("digest", "doc_id"), F.lit(n_batches))) == i))
-    index.compact()
-
-    # One row of each text stands for its copies: the one with the smallest id.
-    known = seen.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"), F.first("anchors").alias("anchors"), F.first("own").alias("own"))
-    hits = (
-        known.select("digest", "doc_id", "copies", F.explode(F.array_union("anchors", "own")).alias("print"))
-        .join(index.recurring(), "print")
-        .groupBy("digest", "doc_id", "copies").agg(F.collect_list("print").alias("prints"))
-    )
-    key = lambda d: [F.coalesce("doc_id", F.lit(-1)).alias("at"), d]
-    suspects = work.save(
-        docs.select(F.coalesce("doc_id", F.lit(-1)).alias("at"), F.unhex(F.md5("text")).alias("digest"), "text")
-        .join(hits.select(*key("digest"), "copies", "prints"), ["at", "digest"])
-        .dropDuplicates(["at", "digest"])
-        .select("digest", "copies", "prints", "text"),
-        "suspects",
-    )
-    found = work.save(suspects.mapInArrow(_windows(width), "digest binary, a long, b long, n long"), "windows")
-    who = F.xxhash64("digest")
-    twice = found.groupBy("a", "b").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), F.max("n").alias("n")).where("lo <> hi or n > 1").select("a", "b")
-    hashes = found.join(twice, ["a", "b"]).groupBy("digest").agg(F.collect_list("a").alias("hashes"))
-    cut = suspects.select("digest", "text").join(hashes, "digest").mapInArrow(_cut(width), "digest binary, n_cut long, cut_sha256 string, cuts array<struct<start:int,end:int>>")
+        part = seen if n_batches == 1 else seen.where((batch_of if batch_of is not None else F.pmod(F.xxhash64("digest", "doc_id"), F.lit(n_batches))) == i)
+        index.add(part, docs)
+    side = work.save(index.report(docs), "report")
+    index.close()
+    Workspace.remove(spark, f"{work.path}/index")
 
     all_gone = (F.col("copies") > 1) & (F.col("n_words") >= width)
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return (
-        seen.select("doc_id", "digest", "n_words", "kept_sha256")
-        .join(index.copies(), "digest")
-        .join(cut, "digest", "left")
-        .select(
-            "doc_id",
-            "n_words",
-            F.when(all_gone, F.col("n_words")).otherwise(F.coalesce("n_cut", F.lit(0))).alias("n_removed"),
-            F.when(all_gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("cut_sha256", "kept_sha256")).alias("kept_sha256"),
-            F.when(all_gone, whole).otherwise(F.coalesce("cuts", none)).alias("cuts"),
-        )
+    rows = seen.select("doc_id", "digest", "n_words", "kept_sha256")
+    return join_counted(rows, side, ["digest"], "copies", rows.count()).select(
+        "doc_id",
+        "n_words",
+        F.when(all_gone, F.col("n_words")).otherwise(F.coalesce("n_cut", F.lit(0))).alias("n_removed"),
+        F.when(all_gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("cut_sha256", "kept_sha256")).alias("kept_sha256"),
+        F.when(all_gone, whole).otherwise(F.coalesce("cuts", none)).alias("cuts"),
     )

@@ -178,6 +178,60 @@ def test_substring_empty(spark):
         substring.repeated_words(frame(spark, []), width=8)
 
 
+def thue_morse(n=1024):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def long_text(rng, n):
+    return " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**7)}" for _ in range(n))
+
+
+def test_substring_of_look_alike_words(spark):
+    """Words on which any polynomial hash modulo a power of two agrees are told apart."""
+    one, two = thue_morse()
+    lead = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, f"{lead} {one}", "s"), (2, f"{lead} {two}", "s")]
+    assert {tuple(r)[1:3] for r in substring.repeated_words(frame(spark, rows)).collect()} == {(35, 0)}
+
+
+def test_substring_of_texts_beyond_a_block(spark):
+    rng = random.Random(8)
+    a, b, shared = long_text(rng, 250_000), long_text(rng, 150_000), long_text(rng, 40_000)
+    rows = [(1, f"{a} {shared}", "s"), (2, f"{shared} {b}", "s"), (3, "short", "s"), (4, None, "s"), (5, f"x {shared[:400]}", "s")]
+    found = substring.repeated_words(frame(spark, rows), n_batches=2).collect()
+    assert sorted((tuple(r)[:4] for r in found), key=repr) == removed_by_force(rows, 35)
+
+
+def test_index_is_continued(spark, tmp_path):
+    """A second batch, in another session's hands, probes the sorted runs in place and reads candidates alone."""
+    path, rows = f"file://{tmp_path}/index", corpus(7)
+    first = [r for r in rows if r[0] is None or r[0] < 100]
+    second = [r for r in rows if r not in first]
+    corpus_df = frame(spark, rows)
+    index = substring.FingerprintIndex(spark, path)
+    index.add(substring.digests(frame(spark, first)), corpus_df)
+    index.close()
+    again = substring.FingerprintIndex.open(spark, path)
+    plan = again._sorted("prints", again.runs["prints"][0]).join(again._sorted("prints", again.runs["prints"][0]).hint("merge"), "print", "left_semi")
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+    read = again.add(substring.digests(frame(spark, second)), corpus_df)
+    owners = {hashlib.md5((t or "").encode()).digest() for _, t, _ in rows}
+    assert 0 < read.count() < len(owners)
+    report = {bytes(r["digest"]): r for r in again.report(corpus_df).collect()}
+    want = removed_by_force(rows, 35)
+    by_text = {(i, t): None for i, t, _ in rows}
+    for i, t in by_text:
+        r = report[hashlib.md5((t or "").encode()).digest()] if t is not None else None
+        n = len(words_of(t))
+        cut = 0 if r is None else n if r["copies"] > 1 and n >= 35 else r["n_cut"] or 0
+        assert (i, n, cut) in {w[:3] for w in want}
+    for i in range(3):
+        again.add(substring.digests(frame(spark, [(900 + i, f"more {i} " + rows[0][1], "s")])), corpus_df.union(frame(spark, [(900 + i, f"more {i} " + rows[0][1], "s")])))
+    assert len(again.runs["prints"]) < 4
+    again.close()
+
+
 # Toxicity
 
 
