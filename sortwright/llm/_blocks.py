@@ -88,6 +88,10 @@ class Block:
             self.lanes = word_lanes(self.data, self.starts, self.ends)
         return self.lanes[lane]
 
+    def folded(self) -> np.ndarray:
+        """One 64-bit hash of each word, from both lanes."""
+        return mix(self.words(0) + mix(self.words(1).copy()))
+
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self)), np.diff(self.first))
 

@@ -5,12 +5,16 @@ shingles, the second is applied after shifting them around the ring by 0, 1, 2,
 minimum under each shift is one coordinate. Bands of ``rows`` coordinates are bucket keys.
 
 Documents with equal shingle sets form a class with one representative, so copies cost nothing
-further. Buckets of more than one class are verified on full sets: a bucket is dealt out as
-pairs of sub-blocks of ``block`` members, each pair to one task, which emits no pairs but a
-spanning forest of the true links it holds. Components are then contracted in rounds.
+further. Buckets of more than one class are verified on full sets, in tasks that emit no pairs but a
+spanning forest of the true links they hold. A bucket of at most ``block`` classes is one task. In a larger one
+every class is first compared with one pivot, in sub-blocks: those linked to it need no further comparison
+among themselves, and as 1 - Jaccard is a metric, only classes within twice the distance can be linked to
+them. What is left, usually few, is dealt out as pairs of sub-blocks; no link is lost, and a bucket of near
+copies costs a number of comparisons in proportion to its size. Components are then contracted in rounds.
 
-With ``bands`` = 16 and ``rows`` = 4, a link at similarity 0.85 is missed with probability 8e-6,
-and one at 0.8, as the pipeline takes them, with 2.2e-4.
+With ``bands`` = 16 and ``rows`` = 4, a link at similarity 0.85 is missed with probability 8e-6 if coordinates
+were independent; the pipeline's stage takes links at 0.8 with 24 bands, which miss 3e-6. ``test_banding_recall``
+measures it. Shingles are told apart by 64 bits, classes by 128 and their size.
 
 Defined cases: a null text, or one without words, has no shingles and stands alone; fewer words than
 a shingle make one shingle; rows with the same id are one document to its links; a row with a null id
@@ -28,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _blocks as B
+from ._skew import join_counted
 from ._stage import Workspace
 
 SHINGLE = 5
@@ -37,7 +42,7 @@ NAMELESS = 1 << 62
 
 def _sets(b: B.Block, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles, sorted within each text of the block, and where each text's begin."""
-    h = b.words(0)
+    h = b.folded()
     g = B.windows(h, size)
     out = []
     for d in range(len(b)):
@@ -182,6 +187,66 @@ def _links(percent: int):
     return run
 
 
+def _pivoted(percent: int):
+    """Compares the members of a sub-block with the pivot of their bucket: kind 0 is linked to it, 1 may be linked
+    to one that is, 2 can't be."""
+    schema = pa.schema([("bucket", pa.int64()), ("node", pa.int64()), ("kind", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, pivot = None, np.empty(0, B.U)
+        for batch in batches:
+            at, flat = B.of_list(batch.column("shingles"))
+            columns = [np.asarray(batch.column(c)) for c in ("bucket", "part", "node", "lead")]
+            out: list[tuple[int, int, int]] = []
+            for r, (bucket, part, node, lead) in enumerate(zip(*columns)):
+                own = flat[at[r] : at[r + 1]]
+                if lead:
+                    # The pivot comes first in each sub-block.
+                    key, pivot = (bucket, part), own.copy()
+                    continue
+                assert key == (bucket, part)
+                common = int(np.isin(own, pivot, assume_unique=True).sum())
+                union = len(own) + len(pivot) - common
+                kind = 0 if 100 * common >= percent * union else 1 if 100 * common >= (2 * percent - 100) * union else 2
+                out.append((bucket, node, kind))
+            if out:
+                yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
+
+    return run
+
+
+def _dealt(slots: DataFrame, sets: DataFrame, percent: int, block: int, work: Workspace) -> tuple[DataFrame, DataFrame | None]:
+    """Tasks (bucket, task, node, side) whose pairs are still open, and the links to pivots if there are large buckets."""
+    small = slots.where(F.col("m") <= block).select("bucket", "node", F.lit(0).cast("long").alias("task"), F.lit(0).alias("side"))
+    large = slots.where(F.col("m") > block)
+    if large.isEmpty():
+        return small, None
+    n = int(slots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = F.ceil(F.col("m") / block)
+    members = large.where("node <> pivot").select("bucket", "node", F.pmod(F.xxhash64("node", F.lit(5)), parts).alias("part"), F.lit(False).alias("lead"))
+    leads = large.where("node = pivot").select("bucket", "node", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(True).alias("lead"))
+    rows = members.unionByName(leads).join(sets, "node").repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part", F.desc("lead"))
+    kinds = work.save(rows.select("bucket", "part", "node", "lead", "shingles").mapInArrow(_pivoted(percent), "bucket long, node long, kind int"), "pivoted")
+    stars = kinds.where("kind = 0").select(F.col("bucket"), F.col("node").alias("v")).join(large.where("node = pivot").select("bucket", F.col("node").alias("u")), "bucket").select("u", "v")
+    sums = kinds.groupBy("bucket").agg(F.count_if(F.col("kind") == 0).alias("s"), F.count_if(F.col("kind") == 1).alias("g"), F.count_if(F.col("kind") > 0).alias("r")).where("r > 0")
+    open_ = kinds.join(sums, "bucket")
+
+    def share(count: str, salt: int) -> tuple:
+        number = F.greatest(F.ceil(F.col(count) / block), F.lit(1))
+        return number, F.pmod(F.xxhash64("node", F.lit(salt)), number)
+
+    number, part = share("r", 7)
+    rest = open_.where("kind > 0").select("bucket", "node", part.alias("part"), F.explode(F.sequence(F.lit(0), number - 1)).alias("other"))
+    lo, hi = F.least("part", "other"), F.greatest("part", "other")
+    rest = rest.select("bucket", "node", F.xxhash64("bucket", lo, hi).alias("task"), F.when(lo == hi, 0).when(F.col("part") == lo, 1).otherwise(2).alias("side"))
+    # The linked ones (s) against those that may be linked to them (g).
+    (ns, ps), (ng, pg) = share("s", 11), share("g", 13)
+    near = open_.where("kind = 1 and s > 0").select("bucket", "node", pg.alias("i"), F.explode(F.sequence(F.lit(0), ns - 1)).alias("j"), F.lit(1).alias("side"))
+    star = open_.where("kind = 0 and g > 0").select("bucket", "node", ps.alias("j"), F.explode(F.sequence(F.lit(0), ng - 1)).alias("i"), F.lit(2).alias("side"))
+    across = near.unionByName(star).select("bucket", "node", F.xxhash64("bucket", F.lit("across"), "i", "j").alias("task"), "side")
+    return small.unionByName(rest).unionByName(across), stars
+
+
 def components(edges: DataFrame, work: Workspace) -> DataFrame:
     """node and the smallest node of its component, for nodes with an edge.
 
@@ -216,44 +281,39 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     same = ["n_shingles", "set_a", "set_b"]
     nameless = F.lit(NAMELESS) + F.xxhash64(*same).bitwiseAND(F.lit(NAMELESS - 1))
     classes = work.save(
-        seen.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")).select(*same, F.coalesce("doc_id", nameless).alias("node"), "bands"),
+        seen.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")).select(*same, "copies", F.coalesce("doc_id", nameless).alias("node"), "bands"),
         "classes",
     )
     slots = classes.select("node", F.explode("bands").alias("bucket"))
     # Buckets with the same members hold the same pairs; one of them is enough.
     lots = (
-        slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("m > 1")
-        .groupBy("m", "x", "y").agg(F.min("bucket").alias("bucket"))
+        slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min("node").alias("pivot")).where("m > 1")
+        .groupBy("m", "x", "y").agg(F.min("bucket").alias("bucket"), F.min("pivot").alias("pivot"))
     )
-    slots = work.save(slots.join(lots.select("bucket", "m"), "bucket"), "slots")
+    slots = work.save(slots.join(lots.select("bucket", "m", "pivot"), "bucket"), "slots")
 
-    # The sets of the classes in those buckets, from the text of one row of each.
+    # The sets of the classes in those buckets, from the text of the row whose id they bear.
     wanted = slots.select("node").distinct().join(classes.select("node", *same), "node")
-    heads = seen.join(wanted, same).where(F.coalesce("doc_id", F.col("node")) == F.col("node")).select(F.coalesce("doc_id", F.lit(NAMELESS)).alias("at"), "node").distinct()
+    heads = wanted.where(F.col("node") < NAMELESS).select(F.col("node").alias("at"), "node")
     sets = work.save(
-        docs.select(F.coalesce("doc_id", F.lit(NAMELESS)).alias("at"), "text").join(heads.where(F.col("at") < NAMELESS), "at").select("node", "text").mapInArrow(_members(shingle), "node long, shingles array<long>"),
+        docs.select(F.coalesce("doc_id", F.lit(NAMELESS)).alias("at"), "text").join(heads, "at").select("node", "text").mapInArrow(_members(shingle), "node long, shingles array<long>"),
         "sets",
     )
     if not seen.where("doc_id is null and n_shingles > 0").isEmpty():
         sets = sets.union(_nameless_sets(docs, wanted, shingle, work))
 
-    # Sub-blocks of a bucket, then each pair of sub-blocks as one task.
-    parts = F.ceil(F.col("m") / block)
-    part = F.pmod(F.xxhash64("node", F.lit(7)), parts)
-    dealt = slots.select("bucket", "node", parts.alias("parts"), part.alias("part")).select(
-        "bucket", "node", "part",
-        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"),
-    )
-    lo, hi = F.least("part", "other"), F.greatest("part", "other")
-    tasks = dealt.select("bucket", "node", F.xxhash64("bucket", lo, hi).alias("task"), F.when(lo == hi, 0).when(F.col("part") == lo, 1).otherwise(2).alias("side"))
+    tasks, stars = _dealt(slots, sets, percent, block, work)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = tasks.join(sets, "node").repartition(n, "bucket", "task").sortWithinPartitions("bucket", "task").select("bucket", "task", "node", F.col("side").cast("long").alias("side"), "shingles").mapInArrow(_links(percent), "u long, v long")
 
-    found = components(edges, work)
-    known = classes.select(*same, "node").join(found, "node", "left").select(*same, F.coalesce("to", "node").alias("root"))
+    found = components(edges if stars is None else edges.unionByName(stars), work)
+    known = work.save(classes.select(*same, "copies", "node").join(found, "node", "left").select(*same, "copies", F.coalesce("to", "node").alias("root")), "known")
     own = F.col("doc_id")
     root = F.when(F.col("n_shingles") == 0, own).when(F.col("root") < NAMELESS, F.col("root"))
-    return seen.join(known, same, "left").select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(own == root, F.lit(False)).alias("kept"))
+    rows = seen.select("doc_id", *same)
+    full = join_counted(rows.where("n_shingles > 0"), known, same, "copies", rows.count()).select("doc_id", "n_shingles", "root")
+    every = full.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("root")))
+    return every.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(own == root, F.lit(False)).alias("kept"))
 
 
 def _nameless_sets(docs: DataFrame, wanted: DataFrame, shingle: int, work: Workspace) -> DataFrame:

@@ -302,6 +302,49 @@ def test_near_duplicates(spark, block):
     assert sorted(map(tuple, found), key=repr) == groups_by_force(rows)
 
 
+def test_large_buckets_lose_no_link(spark):
+    """One bucket of many near copies, some of which are linked only through others: pivots and all pairs agree."""
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for k in range(150):
+        w = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3, 4, 6])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w), "s"))
+    found = sorted(map(tuple, minhash.near_duplicates(frame(spark, rows), block=16, bands=40, rows=2).collect()), key=repr)
+    assert found == groups_by_force(rows)
+
+
+def test_near_duplicates_of_look_alike_words(spark):
+    one, two = thue_morse()
+    assert {tuple(r) for r in minhash.near_duplicates(frame(spark, [(1, one, "s"), (2, two, "s")])).collect()} == {(1, 1, 1, True), (2, 1, 2, True)}
+
+
+def test_near_duplicates_beyond_a_block(spark):
+    rng = random.Random(9)
+    words = long_text(rng, 160_000).split()
+    rows = [(5, " ".join(words), "s"), (6, " ".join(words[:-5000]).upper(), "s"), (7, " ".join(words[:80_000]), "s"), (8, "tiny", "s")]
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert found == {5: 5, 6: 5, 7: 7, 8: 8}
+
+
+@pytest.mark.parametrize("percent,bands", [(85, 16), (80, 24)])
+def test_banding_recall(percent, bands):
+    """Of 3,000 pairs of sets at the threshold, at most a few in ten thousand share no band."""
+    rng, missed, n = np.random.default_rng(5), 0, 400
+    common = -(-2 * n * percent // (100 + percent))
+    for lo in range(0, 3000, 500):
+        sets, at = [], [0]
+        for _ in range(500):
+            pool = rng.integers(0, 1 << 63, 2 * n - common, dtype=np.uint64)
+            sets += [pool[:n], pool[n - common :]]
+            at += [at[-1] + n, at[-1] + 2 * n]
+        sig = minhash.signatures(np.concatenate(sets), np.array(at), 4 * bands).reshape(-1, 2, bands, 4)
+        missed += int((~(sig[:, 0] == sig[:, 1]).all(axis=2).any(axis=1)).sum())
+    assert missed <= 2
+
+
 def test_circulant_signatures_estimate_jaccard():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 1 << 63, 1200, dtype=np.uint64)
