@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (similarity 0.8 or more); texts without words stay."""
-    groups = minhash.near_duplicates(docs, percent=80)
+    groups = minhash.near_duplicates(docs, percent=80, bands=24)
     stay = groups.where("kept or component_id is null or n_shingles = 0").select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_kept_id"]), "left_semi")
 
