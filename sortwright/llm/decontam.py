@@ -5,8 +5,9 @@ digit to a space), so offsets in the normalised text are offsets in the original
 joined by single spaces and scanned once. The automaton holds every window of ``width`` words of
 every item, between spaces, so a match begins and ends at word boundaries.
 
-The items are a stated query set. They are held by the driver only up to ``max_item_bytes``;
-beyond that they are refused rather than broadcast.
+The items are a stated query set, broadcast once as texts and refused beyond ``max_item_bytes``; each Python
+worker builds the automaton from them once. As every word begins a window, it has up to some 13 nodes for a byte
+of the items, of about 32 bytes each: 850 MB at the bound. Larger sets go in parts, each of which is one scan.
 
 Defined cases: a null or wordless text has no words and is clean; an item without words has no window;
 an item with a null id still marks words but is not counted; items with the same id count once;
@@ -16,20 +17,21 @@ either side are fine.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
 from . import _blocks as B
+from ._worker import held
 
 WIDTH = 13
-MAX_ITEM_BYTES = 64 << 20
+MAX_ITEM_BYTES = 2 << 20
 
 #: What each byte becomes: lower case, digits and non-ASCII stay, all else separates words.
 FOLD = np.full(256, 0x20, np.uint8)
@@ -52,30 +54,26 @@ def item_windows(items: list[tuple[int | None, str | None]], width: int = WIDTH)
     return found
 
 
-_built: dict[bytes, ahocorasick.Automaton] = {}
+def automaton(items: list[tuple[int | None, str | None]], width: int) -> ahocorasick.Automaton | None:
+    """None without windows."""
+    windows = item_windows(items, width)
+    if not windows:
+        return None
+    made = ahocorasick.Automaton()
+    for window, ids in windows.items():
+        made.add_word(" " + window.decode("latin-1") + " ", (window.count(b" ") + 1, tuple(ids)))
+    made.make_automaton()
+    return made
 
 
-def automaton(windows: dict[bytes, set]) -> ahocorasick.Automaton:
-    """Built once in each Python worker."""
-    key = hashlib.sha256(repr(sorted((w, sorted(i)) for w, i in windows.items())).encode()).digest()
-    if key not in _built:
-        _built.clear()
-        made = ahocorasick.Automaton()
-        for window, ids in windows.items():
-            made.add_word(" " + window.decode("latin-1") + " ", (window.count(b" ") + 1, tuple(ids)))
-        made.make_automaton()
-        _built[key] = made
-    return _built[key]
-
-
-def _scan(windows: dict[bytes, set]):
+def _scan(items: Broadcast, width: int):
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", spans)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = automaton(windows) if windows else None
+        search = held("automaton", (items._id if hasattr(items, "_id") else id(items), width), lambda: automaton(items.value, width))
         for batch in batches:
-            n_words, n_hit, items, where = [], [], [], []
+            n_words, n_hit, which_items, where = [], [], [], []
             for b in B.blocks(batch.column("text"), keep=FOLD != 0x20):
                 for d in range(len(b)):
                     raw = b.text(d)
@@ -101,44 +99,43 @@ def _scan(windows: dict[bytes, set]):
                         out = [{"start": int(points[s[i]]), "end": int(points[e[j - 1]])} for i, j in turn]
                     else:
                         n_hit.append(0)
-                    items.append(sorted(ids))
+                    which_items.append(sorted(ids))
                     where.append(out)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(where, spans)], schema=schema)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(which_items, pa.list_(pa.int64())), pa.array(where, spans)], schema=schema)
 
     return run
 
 
-def held_windows(items: DataFrame, item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, max_item_bytes: int = MAX_ITEM_BYTES) -> dict[bytes, set]:
-    """The items' windows, on the driver, if the items are within the bound."""
+def held_items(items: DataFrame, item_id: str = "item_id", item_text: str = "text", max_item_bytes: int = MAX_ITEM_BYTES) -> Broadcast:
+    """The items, sent out once if they are within the bound."""
+    ship(items.sparkSession)
     rows = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).cast("string").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     if size > max_item_bytes:
         raise ValueError(f"the items hold {size} bytes; the bound is {max_item_bytes}")
-    return item_windows([tuple(r) for r in rows.collect()], width)
+    return items.sparkSession.sparkContext.broadcast([tuple(r) for r in rows.collect()])
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, percent: int = 5, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit (words inside any occurrence of a window), items (ids of
     the items that occur), spans (code points of the original text, end exclusive), contaminated
     (some word is hit, and at least ``percent`` of all)."""
-    ship(docs.sparkSession)
-    windows = held_windows(items, item_id, item_text, width, max_item_bytes)
+    sent = held_items(items, item_id, item_text, max_item_bytes)
     marked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        _scan(windows), "doc_id long, n_words long, n_hit long, items array<long>, spans array<struct<start:long,end:long>>"
+        _scan(sent, width), "doc_id long, n_words long, n_hit long, items array<long>, spans array<struct<start:long,end:long>>"
     )
     return marked.withColumn("contaminated", F.expr(f"n_hit > 0 and 100 * n_hit >= {int(percent)} * n_words"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, percent: int = 5, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    windows = held_windows(items, item_id, item_text, width, max_item_bytes)
-    ship(docs.sparkSession)
+    scan = _scan(held_items(items, item_id, item_text, max_item_bytes), width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = pa.RecordBatch.from_arrays([pa.array(range(len(batch)), pa.int64()), batch.column(text)], names=["doc_id", "text"])
-            marked = next(_scan(windows)(iter([column])))
-            hit, words = marked.column("n_hit").to_numpy(), marked.column("n_words").to_numpy()
-            yield batch.filter(pa.array((hit == 0) | (100 * hit < percent * words)))
+            for marked in scan(iter([column])):
+                hit, words = marked.column("n_hit").to_numpy(), marked.column("n_words").to_numpy()
+                yield batch.filter(pa.array((hit == 0) | (100 * hit < percent * words)))
 
     return docs.mapInArrow(run, docs.schema)

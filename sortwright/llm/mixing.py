@@ -13,7 +13,7 @@ function, sums run over bucket totals and within buckets. One row per source (no
 meets in one task to rank sources and find the level.
 
 Defined cases: a null text has size 0 and takes nothing; a null source is a source, last in order;
-rows with the same id draw the same number, and equal keys are ordered by id, size and text hash,
+rows with the same id draw the same number, those without one draw by their text, and equal keys are ordered by id, size and text hash,
 so reruns agree; other columns are ignored; an empty table gives an empty result.
 """
 

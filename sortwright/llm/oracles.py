@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from . import mixing, reputation, secrets, winnow
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -12,7 +14,7 @@ def mix() -> str:
     return rf"""
 WITH rows AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    -ln((CAST(('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 1) / 4503599627370496.0)
+    -ln((CAST(('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 13)) AS BIGINT) + 1) / 4503599627370496.0)
       / greatest(0.1, 1 - 4.0 * len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>!]')) / greatest(length(coalesce(text, '')), 1)) AS key
   FROM documents),
 sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rows GROUP BY source),
@@ -78,41 +80,64 @@ def url_verdicts() -> str:
         fits = f"(host = '{where}' OR ends_with(host, '.{where}')) AND starts_with(path, '{begin}')"
         text, action = f"CASE WHEN {fits} THEN '{where + begin}' ELSE {text} END", f"CASE WHEN {fits} THEN '{what}' ELSE {action} END"
     rho = "(sum(CASE WHEN n > 0 THEN n * pow(s / n - parent, 2) / (parent * (1 - parent)) END) - count(CASE WHEN n > 0 THEN 1 END)) / nullif(sum(CASE WHEN n > 0 THEN n - 1 END), 0)"
+    cut = math.log(reputation.FLOOR / (1 - reputation.FLOOR))
+    log1p = lambda x: f"(CASE WHEN {x} > 0 THEN {x} + ln(1 + exp(-({x}))) ELSE ln(1 + exp({x})) END)"
+    at = lambda x: f"exp(a * ({x} - mode) - (a + b) * ({log1p(x)} - {log1p('mode')}))"
+    n = reputation.STEPS
+    side = lambda lo, hi: f"CASE WHEN {hi} > {lo} THEN list_sum(list_transform(range({n + 1}), lambda i: {at(f'({lo} + ({hi} - {lo}) / {n} * i)')} * CASE WHEN i IN (0, {n}) THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END)) * ({hi} - {lo}) / {n} / 3 ELSE 0 END"
     k = lambda t: f"(SELECT 1 / least(greatest(coalesce({rho}, 0), 1 / 1001), 0.5) - 1 FROM {t})"
     return rf"""
 WITH parsed AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 known AS (SELECT doc_id AS page_id, count(*) AS n, sum(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS s FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id),
-counts AS (SELECT host, coalesce(sum(n), 0) AS n, coalesce(sum(s), 0) AS s, string_split(host, '.') AS part FROM parsed LEFT JOIN known USING (page_id) GROUP BY host),
+counts AS (SELECT host, coalesce(sum(n), 0) AS n, coalesce(sum(s), 0) AS s, string_split(regexp_replace(host, '^[^@]*@|:[0-9]*$', '', 'g'), '.') AS part FROM parsed LEFT JOIN known USING (page_id) GROUP BY host),
 named AS (SELECT host, n, s, part, len(part) > 2 AND length(part[-1]) = 2 AND part[-2] IN ({second}) AS long FROM counts),
 level0 AS (SELECT host, n, s, array_to_string(part[greatest(len(part) - long::INT, 1):], '.') AS suffix, array_to_string(part[greatest(len(part) - 1 - long::INT, 1):], '.') AS domain FROM named),
 domain0 AS (SELECT domain, suffix, sum(n) AS n, sum(s) AS s FROM level0 GROUP BY ALL),
 suffix0 AS (SELECT suffix, sum(n) AS n, sum(s) AS s FROM domain0 GROUP BY suffix),
 suffix1 AS (SELECT *, (SELECT (coalesce(sum(s), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM suffix0) AS parent FROM suffix0),
-suffix2 AS (SELECT suffix, (s + k * parent) / (n + k) AS mean FROM (SELECT *, {k('suffix1')} AS k FROM suffix1)),
-domain1 AS (SELECT d.*, mean AS parent FROM domain0 d JOIN suffix2 USING (suffix)),
-domain2 AS (SELECT domain, suffix, (s + k * parent) / (n + k) AS mean FROM (SELECT *, {k('domain1')} AS k FROM domain1)),
-host1 AS (SELECT h.*, mean AS parent FROM level0 h JOIN domain2 USING (domain, suffix)),
-host2 AS (SELECT host, n, k, (s + k * parent) / (n + k) AS mean FROM (SELECT *, {k('host1')} AS k FROM host1)),
-host3 AS (SELECT host, CASE WHEN n > 0 AND mean + {reputation.Z} * sqrt(mean * (1 - mean) / (n + k + 1)) < {reputation.FLOOR} THEN 'block' ELSE 'allow' END AS verdict FROM host2)
-SELECT page_id, host, path, {text} AS rule, coalesce({action}, verdict) AS verdict FROM parsed JOIN host3 USING (host)"""
+suffix2 AS (SELECT suffix, n AS near, (s + k * parent) / (n + k) AS mean FROM (SELECT *, {k('suffix1')} AS k FROM suffix1)),
+domain1 AS (SELECT d.*, near, mean AS parent FROM domain0 d JOIN suffix2 USING (suffix)),
+domain2 AS (SELECT domain, suffix, near, (s + k * parent) / (n + k) AS mean FROM (SELECT *, {k('domain1')} AS k FROM domain1)),
+host1 AS (SELECT h.*, near, mean AS parent FROM level0 h JOIN domain2 USING (domain, suffix)),
+host2 AS (SELECT host, near, CAST(s + k * parent AS DOUBLE) AS a, CAST(n - s + k * (1 - parent) AS DOUBLE) AS b FROM (SELECT *, {k('host1')} AS k FROM host1)),
+host3 AS (SELECT *, {cut} AS cut, ln(a / b) AS mode, {reputation.REACH} * sqrt(1 / a + 1 / b) AS wide FROM host2),
+host4 AS (SELECT *, least(cut, greatest(mode - wide, -30)) AS l0, greatest(cut, least(mode + wide, 30)) AS r1 FROM host3),
+host5 AS (SELECT *, greatest(l0, least(cut, mode + wide)) AS l1, least(r1, greatest(cut, mode - wide)) AS r0 FROM host4),
+sides AS (SELECT *, {side('l0', 'l1')} + CASE WHEN l0 = -30 THEN {at('l0')} / a ELSE 0 END AS under, {side('r0', 'r1')} + CASE WHEN r1 = 30 THEN {at('r1')} / b ELSE 0 END AS over FROM host5),
+verdicts AS (SELECT host, CASE WHEN near > 0 AND CASE WHEN under + over > 0 THEN under / (under + over) WHEN mode < cut THEN 1 ELSE 0 END >= {reputation.SURE} THEN 'block' ELSE 'allow' END AS verdict FROM sides)
+SELECT page_id, host, path, {text} AS rule, coalesce({action}, verdict) AS verdict FROM parsed JOIN verdicts USING (host)"""
 
 
 def line_dedup() -> str:
-    width = winnow.GRAM + winnow.SPAN - 1
-    rest = range(1, width)
-    leads = ", ".join(f"lead(x, {j}) OVER w AS x{j}" for j in rest)
-    keys = ", ".join(["x", *[f"x{j}" for j in rest]])
+    run = winnow.GRAM + winnow.SPAN - 1
+    after = " || ".join(f"chr(10) || coalesce(lead(k, {j}) OVER w, '')" for j in range(1, winnow.GRAM))
     return rf"""
 WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 every AS (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS raw FROM cut),
 lines AS (
-  SELECT doc_id, i, x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos
-  FROM (SELECT doc_id, i, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS x FROM every) WHERE x <> ''),
-runs AS (SELECT * FROM (SELECT doc_id, pos, x, {leads} FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE x{width - 1} IS NOT NULL),
-later AS (SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY doc_id, pos) AS rn FROM runs) WHERE rn > 1),
-gone AS (SELECT DISTINCT l.doc_id, l.i FROM lines l JOIN later r ON l.doc_id = r.doc_id AND l.pos BETWEEN r.pos AND r.pos + {width - 1}),
+  SELECT doc_id, i, x, md5(x) AS k, length(x) AS size, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, count(*) OVER (PARTITION BY doc_id) AS n
+  FROM (SELECT doc_id, i, regexp_replace(raw, '^[ 	-
+]+|[ 	-
+]+$', '', 'g') AS x FROM every) WHERE x <> ''),
+grams AS (SELECT doc_id, pos, n, md5(k || {after}) AS g FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+least AS (
+  SELECT doc_id, pos, n, min(g || lpad(CAST(pos AS VARCHAR), 9, '0')) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {winnow.SPAN - 1} FOLLOWING) AS m FROM grams),
+posts AS (
+  SELECT DISTINCT doc_id, m[1:32] AS g, CAST(m[33:] AS BIGINT) AS place FROM least WHERE pos <= greatest(n - {winnow.SPAN}, 0)
+  UNION SELECT doc_id, md5(k || repeat(chr(10), {winnow.GRAM - 1})), pos FROM lines WHERE size >= {winnow.HEAVY}),
+placed AS (SELECT *, first_value(doc_id) OVER w AS home, first_value(place) OVER w AS spot, row_number() OVER w AS rn FROM posts WINDOW w AS (PARTITION BY g ORDER BY doc_id, place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+matches AS (SELECT DISTINCT doc_id, home, spot - place AS shift, place FROM placed WHERE rn > 1),
+diagonals AS (SELECT DISTINCT doc_id, home, shift FROM matches),
+same AS (
+  SELECT d.*, a.pos, a.size, a.n, a.pos - row_number() OVER (PARTITION BY d.doc_id, d.home, d.shift ORDER BY a.pos) AS island
+  FROM diagonals d JOIN lines a ON a.doc_id = d.doc_id JOIN lines b ON b.doc_id = d.home AND b.pos = a.pos + d.shift AND b.x = a.x),
+runs AS (SELECT doc_id, home, shift, island, min(pos) AS lo, max(pos) AS hi, sum(size) AS size, min(n) AS n FROM same GROUP BY ALL),
+long AS (
+  SELECT DISTINCT r.doc_id, lo, hi FROM runs r JOIN matches m ON m.doc_id = r.doc_id AND m.home = r.home AND m.shift = r.shift AND m.place BETWEEN lo AND hi
+  WHERE hi - lo + 1 >= least({run}, n) OR size >= {winnow.LONG}),
+gone AS (SELECT DISTINCT l.doc_id, l.i FROM lines l JOIN long r ON l.doc_id = r.doc_id AND l.pos BETWEEN r.lo AND r.hi),
 n AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id),
 g AS (SELECT doc_id, count(*) AS m, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS spots FROM gone GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_lines, CAST(coalesce(m, 0) AS BIGINT) AS n_removed, sha256(coalesce(spots, '')) AS removed_sha256

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 from ._stage import Workspace
 from .decontam import FOLD
+from .huffman import slices
 
 MAX_LABELLED = 20_000
 MAX_FEATURES = 2_000
@@ -44,10 +45,11 @@ class OrdinalModel:
     weights: dict[bytes, float] = field(default_factory=dict)
     cuts: list[float] = field(default_factory=list)
 
-    def at_least(self, found: set[bytes]) -> np.ndarray:
-        """P(grade >= k) for k = 1, 2, ..."""
-        x = sum(self.weights[w] for w in sorted(self.weights.keys() & found))
-        return 1 / (1 + np.exp(np.array(self.cuts) - x))
+    def at_least(self, texts: list[bytes | None]) -> np.ndarray:
+        """P(grade >= k) of each text, a row each, a column for k = 1, 2, ..."""
+        weight = self.weights
+        x = [sum(sorted([weight[w] for w in weight.keys() & set(t.translate(_TABLE).split())])) if t else 0.0 for t in texts]
+        return 1 / (1 + np.exp(np.array(self.cuts)[None, :] - np.array(x, float)[:, None]))
 
 
 def fit_ordinal(rows: list[list[int]], grades: np.ndarray, n_features: int, l2: float = 0.3, steps: int = 600, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
@@ -84,12 +86,8 @@ def fit_ordinal(rows: list[list[int]], grades: np.ndarray, n_features: int, l2:
     return p[:n_features], np.cumsum(np.concatenate([p[n_features : n_features + 1], gaps]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES, spread: bool = False) -> OrdinalModel:
-    """Fits grades 0, 1, ... of ``labels``.
-
-    spread: labels that only say yes or no are spread over three grades by dose: a yes with at least
-    the median number of different marker words (the selected words) is a 2.
-    """
+def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> OrdinalModel:
+    """Fits grades 0, 1, ... of ``labels``: 0 is harmless, and the higher the worse."""
     # At most max_labelled rows, so the join may broadcast them.
     some = labels.where(F.col(grade).isNotNull()).select(F.col(label_id).cast("long").alias("doc_id"), F.col(grade).cast("int").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(max_labelled)
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(some), "doc_id").select("grade", "text")
@@ -114,7 +112,6 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", doc_id: str =
         .where(F.col("df") >= MIN_DOCS).select("word", z.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(max_features).collect()
     )
     vocabulary = {bytes(r["word"]): i for i, r in enumerate(chosen)}
-    markers = set(vocabulary.values())
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,24 +120,26 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", doc_id: str =
 
     data = sorted((r["grade"], sorted(r["features"])) for r in seen.mapInArrow(features, "grade int, features array<int>").collect())
     grades, rows = np.array([g for g, _ in data]), [r for _, r in data]
-    if spread:
-        dose = np.array([len(markers.intersection(r)) for r in rows])
-        middle = np.median(dose[grades > 0])
-        grades = np.where(grades > 0, 1 + (dose >= max(2, middle)), 0)
     grades = np.searchsorted(np.unique(grades), grades)
     w, cuts = fit_ordinal(rows, grades, len(vocabulary))
     return OrdinalModel({word: float(w[i]) for word, i in vocabulary.items()}, [float(c) for c in cuts])
 
 
+def _parts(batch: pa.RecordBatch, text: str, model: OrdinalModel) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Stretches of a batch by size of text, with their chances of each grade or more."""
+    for part in slices(batch.set_column(batch.schema.get_field_index(text), text, batch.column(text).cast(pa.binary())), text):
+        yield part, model.at_least(part.column(text).to_pylist())
+
+
 def _score(model: OrdinalModel, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            up = [model.at_least(tokens(t.as_buffer().to_pybytes() if t.is_valid else None)) for t in batch.column("text").cast(pa.binary())]
-            first = [float(p[0]) if len(p) else 0.0 for p in up]
-            yield pa.record_batch(
-                [batch.column("doc_id"), pa.array([float(p.sum()) for p in up], pa.float64()), pa.array(first, pa.float64()), pa.array([int((p >= 0.5).sum()) for p in up], pa.int32()), pa.array([p < threshold for p in first], pa.bool_())],
-                names=["doc_id", "severity", "p_toxic", "grade", "kept"],
-            )
+            for part, up in _parts(batch, "text", model):
+                first = up[:, 0] if up.shape[1] else np.zeros(len(part))
+                yield pa.record_batch(
+                    [part.column("doc_id"), pa.array(up.sum(axis=1)), pa.array(first), pa.array((up >= 0.5).sum(axis=1).astype(np.int32)), pa.array(first < threshold)],
+                    names=["doc_id", "severity", "p_toxic", "grade", "kept"],
+                )
 
     return run
 
@@ -157,10 +156,8 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, text: str = "text", thresho
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for t in batch.column(text).cast(pa.binary()):
-                up = model.at_least(tokens(t.as_buffer().to_pybytes() if t.is_valid else None))
-                keep.append(not len(up) or bool(up[0] < threshold))
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            keep = [up[:, 0] < threshold if up.shape[1] else np.ones(len(part), bool) for part, up in _parts(batch, text, model)]
+            if keep:
+                yield batch.filter(pa.array(np.concatenate(keep)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -246,6 +246,16 @@ def test_ordinal_regression_orders_grades():
     assert np.corrcoef(up.sum(1), grades)[0, 1] > 0.8
 
 
+def test_toxicity_by_force(spark):
+    """Severity is the sum over cuts of the logistic of the weights of a text's words less the cut."""
+    model = toxicity.OrdinalModel({b"bad": 2.0, b"worse": 3.5, b"\xc3\xa9": -1.0}, [1.0, 4.0])
+    rows = [(1, "BAD, worse!", "s"), (2, "bad bad é", "s"), (3, None, "s"), (4, "", "s"), (None, "worse", "s"), (1, "fine", "s"), (6, "bad " * 400_000, "s")]
+    x = {(1, 5.5), (2, 1.0), (3, 0.0), (4, 0.0), (None, 3.5), (1, 0.0), (6, 2.0)}
+    want = sorted((repr(i), sum(1 / (1 + np.exp(c - v)) for c in model.cuts), 1 / (1 + np.exp(1.0 - v)) < 0.5) for i, v in x)
+    found = sorted((repr(r["doc_id"]), r["severity"], r["kept"]) for r in toxicity.severity(frame(spark, rows), model).collect())
+    assert [f[0::2] for f in found] == [w[0::2] for w in want] and [f[1] for f in found] == pytest.approx([w[1] for w in want])
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(3)
     clean, bad = [f"w{i}" for i in range(300)], ["scum", "idiot", "moron", "trash"]
@@ -257,8 +267,8 @@ def test_toxicity_held_out(spark):
         rows.append((i, " ".join(text).upper() if i % 2 else " ".join(text), "s"))
         labels.append((i, int(toxic) if rng.random() > 0.03 else int(not toxic)))
     rows += [(900, None, "s"), (901, "", "s"), (None, "a scum, an idiot!", "s")]
-    model = toxicity.fit(frame(spark, rows), spark.createDataFrame(labels[:350] + [(7777, 1), (3, None)], "doc_id long, toxic int"), spread=True)
-    assert len(model.cuts) == 2 and model.cuts[0] < model.cuts[1]
+    model = toxicity.fit(frame(spark, rows), spark.createDataFrame(labels[:350] + [(7777, 1), (3, None)], "doc_id long, toxic int"))
+    assert len(model.cuts) == 1
     found = {r["doc_id"]: r for r in toxicity.severity(frame(spark, rows), model).collect()}
     right = sum(found[i]["kept"] == (i % 5 != 0) for i in range(350, 500))
     assert right >= 148 and found[900]["kept"] and found[901]["kept"] and not found[None]["kept"]
@@ -377,14 +387,24 @@ def test_reputation(spark):
 
 
 def test_reputation_of_unlabelled_hosts(spark):
-    pages = [(i, f"http://h{i % 4}.bad.biz/p{i}") for i in range(80)] + [(100 + i, f"http://h{i % 4}.fine.org/p{i}") for i in range(80)] + [(900, "http://new.bad.biz/x"), (901, "http://new.fine.org/x"), (902, "http://new.xyz/x")]
+    pages = [(i, f"http://h{i % 4}.bad.biz:8080/p{i}") for i in range(80)] + [(100 + i, f"http://h{i % 4}.fine.org/p{i}") for i in range(80)] + [(900, "http://new.bad.biz/x"), (901, "http://new.fine.org/x"), (902, "http://new.xyz/x")]
     df = spark.createDataFrame(pages, "page_id long, url string")
     outcomes = spark.createDataFrame([(i, i >= 100) for i, _ in pages if i < 900], "page_id long, good boolean")
-    verdicts = lambda **k: {r["page_id"]: r["verdict"] for r in reputation.judge(df, outcomes, **k).collect()}
-    found = verdicts(inherit=True)
+    found = {r["page_id"]: r["verdict"] for r in reputation.judge(df, outcomes).collect()}
     assert (found[0], found[100], found[900], found[901], found[902]) == ("block", "allow", "block", "allow", "allow")
-    assert verdicts()[900] == "allow"
-    assert reputation.judge(df, outcomes.limit(0), inherit=True).where("verdict = 'block'").count() == 0
+    assert reputation.judge(df, outcomes.limit(0)).where("verdict = 'block'").count() == 0
+
+
+def test_share_below_the_floor(spark):
+    """Against the closed form: for whole a and b the share is a binomial tail."""
+    from math import comb
+
+    cases = [(1, 1), (2, 1), (1, 9), (3, 4), (30, 5), (40, 40), (90, 120), (1, 300)]
+    want = {(a, b): sum(comb(a + b - 1, j) for j in range(a, a + b)) / 2 ** (a + b - 1) for a, b in cases}
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in cases] + [(0.05, 0.9), (1e6, 9e5), (0.3, 0.3)], "a double, b double")
+    found = {(r["a"], r["b"]): r["p"] for r in df.select("a", "b", reputation.below(F.col("a"), F.col("b")).alias("p")).collect()}
+    assert all(found[float(a), float(b)] == pytest.approx(p, abs=1e-4) for (a, b), p in want.items())
+    assert found[1e6, 9e5] < 1e-6 and found[0.3, 0.3] == pytest.approx(0.5, abs=1e-6) and 0.9 < found[0.05, 0.9] < 1
 
 
 # Quality
@@ -414,6 +434,52 @@ def test_quality(spark):
     assert none.where("score <> 0").count() == 0 and likelihood.quality(frame(spark, []), trusted).collect() == []
 
 
+def quality_by_force(rows, trusted, buckets):
+    """Scores by hand, with the hash of the public xxhash library."""
+    import math
+    import struct
+
+    import xxhash
+
+    one = lambda w: xxhash.xxh64_intdigest(w.encode(), seed=42)
+    long = lambda v, seed: xxhash.xxh64_intdigest(struct.pack("<Q", v), seed=seed)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    grams = []
+    for _, t, _ in rows:
+        h = [one(w) for w in words_of(t)]
+        grams.append([signed(v) % buckets for v in h + [long(b, long(a, 42)) for a, b in zip(h, h[1:])]])
+    n, t = [1] * buckets, [1] * buckets
+    for (i, _, _), g in zip(rows, grams):
+        for x in g:
+            n[x] += 1
+            t[x] += i in trusted
+    base = math.log(sum(n) / sum(t))
+    weight = [float(f"{math.log(a / b) + base:.6f}") for a, b in zip(t, n)]
+    return [(i, sum(weight[x] for x in g) / len(g) if g else 0.0) for (i, _, _), g in zip(rows, grams)]
+
+
+def test_quality_scores_and_verdicts(spark):
+    rows = corpus(2) + [(500 + i, " ".join(f"@@{i}{j}" for j in range(80)), "junk") for i in range(8)]
+    good = set(range(20)) | set(range(100, 110))
+    df = frame(spark, rows)
+    judged = spark.createDataFrame([(i, True) for i in range(20)] + [(500 + i, False) for i in range(8)] + [(3, None), (None, True)], "doc_id long, good boolean")
+    found = likelihood.quality(df, spark.createDataFrame([(i,) for i in good], "doc_id long"), buckets=1 << 12, judged=judged).collect()
+    want = quality_by_force(rows, good, 1 << 12)
+    got, held = (sorted((repr(i), round(x, 5)) for i, x in side) for side in ([(r["doc_id"], r["score"]) for r in found], want))
+    assert [i for i, _ in got] == [i for i, _ in held] and [x for _, x in got] == pytest.approx([x for _, x in held], abs=2e-5)
+    bins = defaultdict(lambda: [0, 0])
+    failed = {i: base_by_force(t)[5] for i, t, _ in rows}
+    for i, x in want:
+        if i is not None and not failed[i] and (i in range(20) or i >= 500):
+            bins[int(np.floor(x / likelihood.STEP))][i >= 500] += 1
+    threshold = likelihood.best_cut({k: tuple(v) for k, v in bins.items()}) * likelihood.STEP
+    scores = defaultdict(list)
+    for i, x in want:
+        scores[i].append(x)
+    assert all(r["kept"] == (not r["base_failed"] and r["score"] >= threshold) for r in found)
+    assert all(r["kept"] for r in found if r["doc_id"] in range(20)) and not any(r["kept"] for r in found if (r["doc_id"] or 0) >= 500)
+
+
 def test_best_cut():
     assert likelihood.best_cut({-90: (0, 3), -60: (0, 2), -20: (4, 0), 5: (9, 0)}) == -40
     assert likelihood.best_cut({-90: (0, 3), -80: (1, 0), -60: (0, 2), -20: (4, 0)}) == -40
@@ -438,6 +504,10 @@ def test_contamination(spark):
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contamination(frame(spark, rows), nothing).where("contaminated").count() == 0
     assert decontam.contamination(frame(spark, []), nothing).collect() == []
+    rng = random.Random(6)
+    far = long_text(rng, 200_000) + " " + items[0][1] + " " + long_text(rng, 50_000)
+    one = decontam.contamination(frame(spark, [(1, far, "s"), (2, "x", "s")]), spark.createDataFrame(items, "item_id long, text string")).where("doc_id = 1").first()
+    assert one["n_hit"] == 20 and one["items"] == [1] and far[one["spans"][0]["start"] : one["spans"][0]["end"]] == items[0][1]
     with pytest.raises(ValueError):
         decontam.contamination(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), max_item_bytes=10)
 
@@ -445,36 +515,74 @@ def test_contamination(spark):
 # Lines
 
 
-def lines_by_force(rows, width=3):
-    seen, out = set(), {}
+def lines_by_force(rows, gram=winnow.GRAM, span=winnow.SPAN, heavy=winnow.HEAVY, long=winnow.LONG):
+    """The rule by hand: selected lines, their first places, and the stretches around them."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    docs = []
     for i, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
-        full = [(k, s) for k, x in enumerate((t or "").split("\n")) if (s := x.strip(" \t\n\v\f\r"))]
-        gone = set()
-        for k in range(len(full) - width + 1):
-            key = tuple(s for _, s in full[k : k + width])
-            if key in seen:
-                gone.update(n for n, _ in full[k : k + width])
-            seen.add(key)
-        out[i] = (len(full), len(gone), sorted(gone))
-    return out
+        docs.append((i, [(k, s) for k, x in enumerate((t or "").split("\n")) if (s := x.strip(" \t\n\v\f\r"))]))
+    first, posts = {}, []
+    for d, (_, full) in enumerate(docs):
+        keys = [md5(x) for _, x in full]
+        grams = [md5("\n".join([keys[p + j] if p + j < len(keys) else "" for j in range(gram)])) for p in range(len(keys))]
+        chosen = {min((grams[q], q) for q in range(p, min(p + span, len(grams))))[::-1] for p in range(max(len(grams) - span, 0) + 1) if grams}
+        chosen |= {(p, md5("\n".join([keys[p]] + [""] * (gram - 1)))) for p, (_, x) in enumerate(full) if len(x) >= heavy}
+        for p, g in sorted(chosen):
+            posts.append((d, p, g))
+            first.setdefault(g, (d, p))
+    gone = defaultdict(set)
+    for d, p, g in posts:
+        home, q = first[g]
+        if (home, q) == (d, p):
+            continue
+        own, other = [x for _, x in docs[d][1]], [x for _, x in docs[home][1]]
+        lo, hi = p, p
+        if own[p] != other[q]:
+            continue
+        while lo > 0 and lo - 1 + q - p >= 0 and own[lo - 1] == other[lo - 1 + q - p]:
+            lo -= 1
+        while hi + 1 < len(own) and hi + 1 + q - p < len(other) and own[hi + 1] == other[hi + 1 + q - p]:
+            hi += 1
+        if hi - lo + 1 >= min(gram + span - 1, len(own)) or sum(map(len, own[lo : hi + 1])) >= long:
+            gone[d].update(range(lo, hi + 1))
+    return {i: (len(full), len(gone[d]), sorted(full[k][0] for k in gone[d])) for d, (i, full) in enumerate(docs)}
 
 
 def test_line_dedup(spark):
     a = [f"line {i}" for i in range(8)]
-    rows = [(1, "\n".join(a), "s"), (2, "\n".join(["x", *a[2:7], "y"]), "s"), (3, "\n\n".join([" " + x for x in a[:3]]), "s"), (4, "\n".join(a[:2]), "s"), (5, "r\n" * 9, "s"), (6, None, "s"), (7, "", "s"), (None, "\n".join(a[4:8]), "s"), (8, "\n".join(a), "s"), (9, "p\nq\nr\np\nq\nr\np", "s")]
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "\n".join(a), "s"), (2, "\n".join(["x", *a[2:7], "y"]), "s"), (3, "\n\n".join([" " + x for x in a[:3]]), "s"), (4, "\n".join(a[:2]), "s"), (5, "r\n" * 9, "s"), (6, None, "s"), (7, "", "s"), (None, "\n".join(a[4:8]), "s"), (8, "\n".join(a), "s"), (9, "p\nq\nr\ns\np\nq\nr\ns\np", "s")]
+    rows += [(20, f"menu\n{long}\nx", "s"), (21, f"a\nmenu\nb\n{long}\n{long[:200]}", "s"), (22, "one\n\ntwo", "s"), (23, "one\ntwo", "s"), (24, "only", "s"), (25, " only ", "s")]
     found = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["removed"]) for r in winnow.repeated_lines(frame(spark, rows)).collect()}
     assert found == lines_by_force(rows)
+    assert found[2][2] == [1, 2, 3, 4, 5] and found[8][1] == 8 and found[5][1] == 8 and found[9][1] == 5 and found[6] == (0, 0, [])
+    # Long passages on one line, and copies of short documents, go as well; short repeats stay.
+    assert found[21][2] == [3] and found[23][1] == 2 and found[25][1] == 1 and found[3][1] == 3
     assert winnow.repeated_lines(frame(spark, [])).collect() == []
     text = spark.range(1).select(winnow.without_lines(F.lit("a\nb\nc"), F.array(F.lit(1))))
     assert text.first()[0] == "a\nc"
 
 
+def test_line_dedup_at_random(spark):
+    rng = random.Random(11)
+    pool = [f"some line {i}" for i in range(30)]
+    rows = [(i, "\n".join(rng.choices(pool[: 5 if i % 4 == 0 else 30], k=rng.randint(1, 25))), "s") for i in range(60)]
+    rows += [(100 + i, rows[i][1] + ("\nend" if i % 2 else ""), "s") for i in range(20)]
+    found = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["removed"]) for r in winnow.repeated_lines(frame(spark, rows)).collect()}
+    assert found == lines_by_force(rows)
+
+
+def test_postings_are_a_fraction(spark):
+    n = 4000
+    text = "\n".join(f"line {i * 7919 % 100_003}" for i in range(n))
+    marked = spark.createDataFrame([(text,)], "t string").select(F.size(winnow._postings(winnow._lines(F.col("t")), winnow.GRAM, winnow.SPAN, winnow.HEAVY)))
+    assert marked.first()[0] < 0.55 * n
+
+
 def test_single_lines(spark):
-    long = " ".join(f"w{i}" for i in range(60))
-    rows = [(1, f"menu\n{long}\nx", "s"), (2, f"a\nmenu\nb\n{long[:200]}\n{long[200:]}", "s"), (3, f"c\n{long}\nd\n{long[:200]}\n{long[200:]}\ne", "s"), (4, "only", "s"), (5, " only ", "s"), (6, "one\n\ntwo", "s"), (7, "one\ntwo", "s"), (None, "x", "s"), (8, None, "s")]
-    found = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["removed"]) for r in winnow.repeated_lines(frame(spark, rows), gram=1, span=1).collect()}
-    assert found == lines_by_force(rows, width=1)
-    assert found[2][2] == [1] and found[3][2] == [1, 3, 4] and found[5][1] == 1 and found[7][1] == 2
+    rows = [(1, "menu\nx\ny", "s"), (2, "a\nmenu\nb", "s"), (4, "only", "s"), (5, " only ", "s"), (7, "one\ntwo", "s"), (None, "x", "s"), (8, None, "s")]
+    found = {r["doc_id"]: r["removed"] for r in winnow.repeated_lines(frame(spark, rows), gram=1, span=1).collect()}
+    assert found == {None: [], 1: [1], 2: [1], 4: [], 5: [0], 7: [], 8: []}
 
 
 # Secrets
