@@ -42,14 +42,18 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_words(table(spark, sf_dir, "documents"), n_batches=2).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+#: The first grade that is rejected.
+TOXIC = 2
+
+
 def severity_grades(labels: DataFrame) -> DataFrame:
-    """Grades from the labels alone: 0 not toxic, 1 toxic in a text of quality, 2 toxic and of no quality."""
-    return labels.select("doc_id", F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, F.when(F.col("quality") == 1, 1).otherwise(2)).alias("toxic"))
+    """Grades from the labels alone: 0 harmless, 1 not toxic but of no quality, 2 toxic."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, TOXIC).when(F.col("toxic") == 0, F.when(F.col("quality") == 0, 1).otherwise(0)).alias("toxic"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.severity(docs, toxicity.fit(docs, severity_grades(table(spark, sf_dir, "labels"))))
+    return toxicity.severity(docs, toxicity.fit(docs, severity_grades(table(spark, sf_dir, "labels")), reject=TOXIC))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Toxicity severity by cumulative-link ordinal regression.
 
 P(grade >= k) = sigmoid(x.w - cut_k): one weight vector shared by all ordered cuts. Features are the
-presence of single words, selected by how strongly they go with the upper grades. The severity is
-the expected grade, and a document is rejected when P(grade >= 1) reaches ``threshold``.
+presence of single words, selected by how strongly they go with the grades from ``reject`` on. The severity is
+the expected grade, and a document is rejected when P(grade >= reject) reaches ``threshold``.
 
 The model is fitted on at most ``MAX_LABELLED`` labelled documents, chosen by a hash of the id, and at
 most ``MAX_FEATURES`` words; only their selected features come to the driver. Every document
@@ -44,6 +44,8 @@ def tokens(text: bytes | None) -> set[bytes]:
 class OrdinalModel:
     weights: dict[bytes, float] = field(default_factory=dict)
     cuts: list[float] = field(default_factory=list)
+    #: The place, among the grades, of the first that is rejected.
+    reject: int = 1
 
     def at_least(self, texts: list[bytes | None]) -> np.ndarray:
         """P(grade >= k) of each text, a row each, a column for k = 1, 2, ..."""
@@ -86,8 +88,8 @@ def fit_ordinal(rows: list[list[int]], grades: np.ndarray, n_features: int, l2:
     return p[:n_features], np.cumsum(np.concatenate([p[n_features : n_features + 1], gaps]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> OrdinalModel:
-    """Fits grades 0, 1, ... of ``labels``: 0 is harmless, and the higher the worse."""
+def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES, reject: int = 1) -> OrdinalModel:
+    """Fits grades 0, 1, ... of ``labels``: 0 is harmless, the higher the worse, and those from ``reject`` on are to go."""
     # At most max_labelled rows, so the join may broadcast them.
     some = labels.where(F.col(grade).isNotNull()).select(F.col(label_id).cast("long").alias("doc_id"), F.col(grade).cast("int").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(max_labelled)
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(some), "doc_id").select("grade", "text")
@@ -99,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", doc_id: str =
 
     seen = Workspace(docs.sparkSession, "toxicity").save(picked.mapInArrow(words, "grade int, words array<binary>").distinct(), "labelled")
     total = {r["grade"]: r["n"] for r in seen.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n, n_up = sum(total.values()), sum(v for k, v in total.items() if k > 0)
+    n, n_up = sum(total.values()), sum(v for k, v in total.items() if k >= reject)
     if not 0 < n_up < n:
         return OrdinalModel()
     # The signed root of the likelihood ratio of the word's 2 x 2 table.
@@ -108,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", doc_id: str =
     ratio = 2 * (part(a, F.col("df") * n_up / n) + part(b, F.col("df") * (n - n_up) / n) + part(n_up - a, (n - F.col("df")) * n_up / n) + part(n - n_up - b, (n - F.col("df")) * (n - n_up) / n))
     z = F.signum(a * n - F.col("df") * n_up) * F.sqrt(F.greatest(ratio, F.lit(0.0)))
     chosen = (
-        seen.select((F.col("grade") > 0).cast("long").alias("up"), F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("up").alias("up"))
+        seen.select((F.col("grade") >= reject).cast("long").alias("up"), F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("up").alias("up"))
         .where(F.col("df") >= MIN_DOCS).select("word", z.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(max_features).collect()
     )
     vocabulary = {bytes(r["word"]): i for i, r in enumerate(chosen)}
@@ -120,9 +122,10 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", doc_id: str =
 
     data = sorted((r["grade"], sorted(r["features"])) for r in seen.mapInArrow(features, "grade int, features array<int>").collect())
     grades, rows = np.array([g for g, _ in data]), [r for _, r in data]
-    grades = np.searchsorted(np.unique(grades), grades)
+    kinds = np.unique(grades)
+    grades, place = np.searchsorted(kinds, grades), int(np.searchsorted(kinds, reject))
     w, cuts = fit_ordinal(rows, grades, len(vocabulary))
-    return OrdinalModel({word: float(w[i]) for word, i in vocabulary.items()}, [float(c) for c in cuts])
+    return OrdinalModel({word: float(w[i]) for word, i in vocabulary.items()}, [float(c) for c in cuts], place)
 
 
 def _parts(batch: pa.RecordBatch, text: str, model: OrdinalModel) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -135,7 +138,7 @@ def _score(model: OrdinalModel, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, up in _parts(batch, "text", model):
-                first = up[:, 0] if up.shape[1] else np.zeros(len(part))
+                first = up[:, model.reject - 1] if up.shape[1] else np.zeros(len(part))
                 yield pa.record_batch(
                     [part.column("doc_id"), pa.array(up.sum(axis=1)), pa.array(first), pa.array((up >= 0.5).sum(axis=1).astype(np.int32)), pa.array(first < threshold)],
                     names=["doc_id", "severity", "p_toxic", "grade", "kept"],
@@ -145,7 +148,7 @@ def _score(model: OrdinalModel, threshold: float):
 
 
 def severity(docs: DataFrame, model: OrdinalModel, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """One row per document: doc_id, severity (expected grade), p_toxic (P(grade >= 1)), grade and kept."""
+    """One row per document: doc_id, severity (expected grade), p_toxic (P(grade >= reject)), grade and kept."""
     ship(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_score(model, threshold), "doc_id long, severity double, p_toxic double, grade int, kept boolean")
 
@@ -156,7 +159,7 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, text: str = "text", thresho
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [up[:, 0] < threshold if up.shape[1] else np.ones(len(part), bool) for part, up in _parts(batch, text, model)]
+            keep = [up[:, model.reject - 1] < threshold if up.shape[1] else np.ones(len(part), bool) for part, up in _parts(batch, text, model)]
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
