@@ -15,7 +15,7 @@ from sortwright.llm._stage import Workspace
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model, fitted on the labels of this input, does not reject."""
-    model = toxicity.fit(docs, queries.severity_grades(queries.table(spark, sf_dir, "labels")))
+    model = toxicity.fit(docs, queries.severity_grades(queries.table(spark, sf_dir, "labels")), reject=queries.TOXIC)
     return toxicity.drop_toxic(docs, model)
 
 
