@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,7 @@ MORE = (
     ("linux-package", 0, (b"!<arch>", b"\xed\xab\xee\xdb")),
     ("font", 0, (b"OTTO", b"\x00\x01\x00\x00", b"wOFF", b"wOF2", b"true")),
 )
+# How pages and messages begin.
 HTML = r"(?is)\A\s*(<!doctype html|<html)"
 MAIL_START = r"(?m)\A(Return-Path|Received|Delivered-To|MIME-Version|From|Message-ID):"
 MAIL_HEAD = r"(?mi)^(Subject|Date):"
@@ -86,16 +89,28 @@ def text_kind(text: Column) -> Column:
     return out
 
 
-def image_mime(data: Column) -> Column:
-    png, webp, gif = _at(data, 0, b"\x89PNG"), _at(data, 0, b"RIFF") & _at(data, 8, b"WEBP"), _at(data, 0, b"GIF8")
-    return F.when(png, "image/png").when(webp, "image/webp").when(gif, "image/gif").otherwise("image/jpeg")
-
-
-def image_size(head: Column, label: Column) -> Column:
-    """width and height of PNG and GIF images; JPEG needs a walk over its markers."""
-    number = lambda hexed: F.conv(hexed, 16, 10).cast("int")
-    hexed = lambda start, n: F.hex(F.substring(head, start, n))
-    little = lambda start: F.concat(F.hex(F.substring(head, start + 1, 1)), F.hex(F.substring(head, start, 1)))
-    return F.when(label == "png", F.struct(number(hexed(17, 4)).alias("width"), number(hexed(21, 4)).alias("height"))).when(
-        label == "gif", F.struct(number(little(7)).alias("width"), number(little(9)).alias("height"))
-    )
+def label_of(head: bytes, name: str = "", tail: bytes = b"") -> str:
+    """The same for one file's bytes, without Spark."""
+    brand = head[8:12] if head[4:8] == b"ftyp" else None
+    riff = next((label for label, kind in RIFF.items() if head[:4] == b"RIFF" and head[8:12] == kind), None)
+    for label, at, signs in SIGNATURES:
+        if head.startswith(signs, at):
+            return label
+    if riff == "webp":
+        return riff
+    if brand is not None:
+        return "heic" if brand in HEIC else "audio" if brand in AUDIO_BRANDS else "video"
+    for label, at, signs in MORE:
+        if head.startswith(signs, at) or riff == label:
+            return label
+    if tail.startswith(b"koly"):
+        return "mac-disk-image"
+    text = head.decode("latin-1")
+    if "\0" in text[:4096]:
+        return "binary"
+    text = re.sub("^(?:\u00ef\u00bb\u00bf)+", "", text)
+    if re.search(HTML, text):
+        return "html"
+    if re.search(MAIL_START, text) and re.search(MAIL_HEAD, text):
+        return "email"
+    return "notebook" if name.lower().endswith(".ipynb") and text.lstrip().startswith("{") else "text"

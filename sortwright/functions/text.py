@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import html
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TRIM = r"^\s+|\s+$"
+# What is cut out of markup and rich text, and what counts as text within a binary.
+HIDDEN = r"(?is)<(script|style|noscript|svg)[^>]*>.*?</\1>"
+TAGS = r"(?s)<[^>]+>"
+RTF_BYTE = r"\\'[0-9a-f]{2}"
+RTF_WORD = r"\\[a-z]+-?\d* ?|[{}]"
+PRINTABLE = "[ -~]{6,}"
+WORDLIKE = "[A-Za-z]{4,}"
 #: Entities of the built-in decoder, the ampersand last.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&"))
 
@@ -29,18 +33,9 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def unescape_all(text: Column) -> Column:
-    """Every HTML entity, for pages beyond the built-in few."""
-
-    def each(series: pd.Series) -> pd.Series:
-        return series.map(html.unescape, na_action="ignore")
-
-    return F.pandas_udf(each, "string")(text)
-
-
 def strip_tags(raw: Column) -> Column:
     """Scripts, styles and drawings go with what they hold; other tags become blanks."""
-    return unescape(F.regexp_replace(F.regexp_replace(raw, r"(?is)<(script|style|noscript|svg)[^>]*>.*?</\1>", " "), r"(?s)<[^>]+>", " "))
+    return unescape(F.regexp_replace(F.regexp_replace(raw, HIDDEN, " "), TAGS, " "))
 
 
 def html_title(raw: Column) -> Column:
@@ -55,23 +50,6 @@ def html_text(raw: Column, limit: int = 200_000) -> Column:
     return F.concat(F.when(title != "", F.concat(F.lit("Title: "), title, F.lit("\n"))).otherwise(""), strip_tags(head))
 
 
-def rtf_text(raw: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.substring(raw, 1, 200_000), r"\\'[0-9a-f]{2}", " "), r"\\[a-z]+-?\d* ?|[{}]", " ")
-
-
-def notebook_text(raw: Column, cells: int = 30) -> Column:
-    source = F.from_json(raw, "struct<cells:array<struct<source:array<string>>>>")["cells"]
-    return F.array_join(F.transform(F.slice(source, 1, cells), lambda c: F.array_join(c["source"], "")), "\n")
-
-
-def inner_strings(data: Column, limit: int = 600) -> Column:
-    """Printable runs of the first 64 KiB that hold a word, once each."""
-    shown = F.decode(F.substring(data, 1, 65536), "ISO-8859-1")
-    runs = F.filter(F.regexp_extract_all(shown, F.lit("[ -~]{6,}"), F.lit(0)), lambda r: r.rlike("[A-Za-z]{4,}"))
-    joined = F.array_join(F.array_distinct(runs), " | ")
-    return F.when(joined != "", F.concat(F.lit("Text found inside: "), F.substring(joined, 1, limit))).otherwise("")
-
-
 def human_size(size: Column) -> Column:
     return (
         F.when(size > 1e9, F.format_string("%.1f GB", size / 1e9)).when(size > 1e6, F.format_string("%.1f MB", size / 1e6))
@@ -79,11 +57,11 @@ def human_size(size: Column) -> Column:
     )
 
 
-def preview(kind: Column, size: Column, modified: Column, body: Column, limit: int = 2000) -> Column:
-    """The description line, then the squashed body; the whole is cut at limit."""
-    head = F.concat(F.lit("Type: "), kind, F.lit(". Size: "), human_size(size), F.lit(". Modified: "), F.date_format(modified, "yyyy-MM-dd"), F.lit("."))
+def described(kind: Column, size: Column, modified: Column, body: Column, limit: int = 2000) -> Column:
+    """The description line, then the squashed body; the whole is cut at limit. A null size leaves out size and date."""
+    known = F.when(size.isNotNull(), F.concat(F.lit(". Size: "), human_size(size), F.lit(". Modified: "), F.coalesce(F.date_format(modified, "yyyy-MM-dd"), F.lit("unknown")))).otherwise("")
     text = squash(body)
-    return F.substring(F.concat(head, F.when(text != "", F.concat(F.lit("\n"), text)).otherwise("")), 1, limit)
+    return F.substring(F.concat(F.lit("Type: "), kind, known, F.lit("."), F.when(text != "", F.concat(F.lit("\n"), text)).otherwise("")), 1, limit)
 
 
 def clip(text: Column, n: int) -> Column:

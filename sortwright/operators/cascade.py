@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import let
 from .rank import alternatives, margin, shortlist, taught
 from .rules import review
 
@@ -82,11 +83,15 @@ def with_choices(rows: DataFrame, taxonomy: list[str], s: Settings) -> DataFrame
 def parse_choice(answer: Column, choices: Column) -> Column:
     """struct<category, reason> of a model's reply: JSON, or the first object in it; the name exact, else without
     case and signs (the last such choice); null if it is none of them."""
-    body = F.coalesce(F.get_json_object(answer, "$.category"), F.get_json_object(F.regexp_extract(answer, r"(?s)\{.*\}", 0), "$.category"))
-    reason = F.coalesce(F.get_json_object(answer, "$.reason"), F.get_json_object(F.regexp_extract(answer, r"(?s)\{.*\}", 0), "$.reason"), F.lit(""))
     plain = lambda c: F.lower(F.regexp_replace(c, r"(?U)\W", ""))
-    loose = F.try_element_at(F.filter(choices, lambda c: plain(c) == plain(body)), F.lit(-1))
-    return F.struct(F.when(F.array_contains(choices, body), body).otherwise(loose).alias("category"), F.substring(reason, 1, 300).alias("reason"))
+    inner = F.regexp_extract(answer, r"(?s)\{.*\}", 0)
+    said = F.struct(*[F.coalesce(F.get_json_object(answer, f"$.{k}"), F.get_json_object(inner, f"$.{k}")).alias(k) for k in ("category", "reason")])
+
+    def picked(s: Column) -> Column:
+        loose = let(plain(s["category"]), lambda name: F.try_element_at(F.filter(choices, lambda c: plain(c) == name), F.lit(-1)))
+        return F.struct(F.when(F.array_contains(choices, s["category"]), s["category"]).otherwise(loose).alias("category"), F.substring(F.coalesce(s["reason"], F.lit("")), 1, 300).alias("reason"))
+
+    return let(said, picked)
 
 
 def by_model(rows: DataFrame, s: Settings, stats: str = "picked") -> DataFrame:

@@ -61,6 +61,11 @@ def central(rows: DataFrame, key: str, n: int, cluster: str = "cluster", vec: st
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def sizes(rows: DataFrame, cluster: str = "cluster", least: int = 2) -> DataFrame:
+    """cluster, n, and whether it is a group: fewer members than ``least`` stay ungrouped."""
+    return rows.groupBy(cluster).agg(F.count(F.lit(1)).alias("n")).withColumn("grouped", F.col("n") >= least)
+
+
 def merge_named(groups: DataFrame) -> DataFrame:
     """Groups (cluster, path, members) of one path become one, largest first; invalid paths keep their members as ungrouped."""
     from ..functions.names import valid_path

@@ -105,11 +105,13 @@ def shortlist(best: Column, k: int) -> Column:
 
 
 def nearest(docs: DataFrame, examples: DataFrame, k: int, vec: str = "vec") -> DataFrame:
-    """Adds ``nearest``: array<struct<seq, category, score>> of the k most similar examples, earlier first on ties."""
-    side = examples.select("seq", "category", unit(doubles(F.col("vec"))).alias("vec"))
-    out = docs.crossJoin(F.broadcast(as_side(side, "category", "vec", order="seq", name="_examples")))
-    near = let(unit(doubles(F.col(vec))), lambda v: F.array_sort(F.transform("_examples", lambda e: F.struct((-dot(v, e["vec"])).alias("minus"), e["seq"].alias("seq"), e["category"].alias("category")))))
-    return out.withColumn("nearest", F.transform(F.slice(near, 1, k), lambda s: F.struct(s["seq"].alias("seq"), s["category"].alias("category"), (-s["minus"]).alias("score")))).drop("_examples")
+    """Adds ``nearest``: array<struct<seq, category, (name, snippet,) score>> of the k most similar examples, earlier first on ties."""
+    more = [c for c in ("name", "snippet") if c in examples.columns]
+    side = examples.select("seq", "category", unit(doubles(F.col("vec"))).alias("vec"), *more)
+    out = docs.crossJoin(F.broadcast(as_side(side, "category", "vec", *more, order="seq", name="_examples")))
+    shown = ["seq", "category", *more]
+    near = let(unit(doubles(F.col(vec))), lambda v: F.array_sort(F.transform("_examples", lambda e: F.struct((-dot(v, e["vec"])).alias("minus"), *[e[c].alias(c) for c in shown]))))
+    return out.withColumn("nearest", F.transform(F.slice(near, 1, k), lambda s: F.struct(*[s[c].alias(c) for c in shown], (-s["minus"]).alias("score")))).drop("_examples")
 
 
 def taught(near: Column, tau: float) -> Column:

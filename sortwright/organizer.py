@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-import tempfile
 import time
 import uuid
 from collections.abc import Callable
@@ -20,6 +20,7 @@ from .functions.vectors import key_of
 from .operators import cascade, cluster, rank, rules
 from .plans import plan as P
 from .plans import questions as Q
+from .runtime import shared_root
 from .sources import extract, listing, stores
 from .streaming import watch as W
 
@@ -36,8 +37,7 @@ class Organizer:
 
     def __post_init__(self) -> None:
         Path(self.state).mkdir(parents=True, exist_ok=True)
-        root = self.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sortwright-")
-        self.stages = f"{root}/organizer-{uuid.uuid4().hex}"
+        self.stages = f"{shared_root(self.spark)}/organizer-{uuid.uuid4().hex}"
 
     # Tables
 
@@ -88,12 +88,11 @@ class Organizer:
         print_ = self.cfg.fingerprint(sorted(map(tuple, examples.select("name", "snippet", "category").collect())))
         rest = rest.withColumn("key", stores.verdict_key(print_, F.col("kind"), F.col("name"), F.col("text"), F.col("image")))
         hits, misses = cascade.by_cache(rest, stores.read_table(self.spark, f"{self.state}/verdicts", stores.VERDICT).dropDuplicates(["key"]))
-        doc = F.concat(F.when(F.col("kind") == "folder", "Folder: ").otherwise("File: "), F.col("name"), F.lit("\n"), F.col("text"))
-        misses = misses.withColumn("document", doc)
+        misses = misses.withColumn("document", M.document_text(F.col("kind"), F.col("name"), F.col("text")))
         if s.mode != "llm":
             before, of_category = M.prefixes(self.cfg.strategy.embed_model)
             misses = self.embed(misses.withColumn("_text", F.concat(F.lit(before), F.col("document")))).drop("_text")
-            cats = self.embed(self.taxonomy().withColumn("_text", F.concat(F.lit(of_category), F.replace("category", F.lit("/"), F.lit(" / ")), F.lit(": "), F.col("description"))))
+            cats = self.embed(self.taxonomy().withColumn("_text", F.concat(F.lit(of_category), M.category_text(F.col("category"), F.col("description")))))
             taught = self.embed(examples.withColumn("_text", F.concat(F.lit(before), F.col("name"), F.lit("\n"), F.col("snippet"))))
             misses = rank.ranked(misses, cats, examples=taught, tau=s.tau)
             misses = self.save(rank.nearest(misses, taught, 4), "ranked")
@@ -196,7 +195,7 @@ class Organizer:
     def teach(self, path: str, category: str) -> None:
         """Adds a file as an example of a category."""
         p = Path(path)
-        found = extract.folder(str(p)) if p.is_dir() else extract.parse(str(p), extract.local_sniff(str(p)))
+        found = extract.folder(str(p)) if p.is_dir() else extract.parse(extract.File(str(p)), extract.local_sniff(extract.File(str(p))))
         stores.add_example(f"{self.state}/examples.jsonl", p.name, found.text, category, self.cfg.paths)
 
     def handle_settled(self, batch: DataFrame, number: int = 0) -> list[dict]:
@@ -217,9 +216,15 @@ class Organizer:
         return done
 
     def watch(self, folders: list[str], include_existing: bool = False, once: bool = False):  # noqa: ANN201
-        existing = set() if include_existing else {e.path for f in folders if Path(f).is_dir() for e in listing.level(f, self.cfg.ignore, self.cfg.owned)}
+        # A watch that is taken up again knows from its state what it has handled.
+        again = Path(self.watch_state(folders)).exists()
+        existing = set() if include_existing or again else {e.path for f in folders if Path(f).is_dir() for e in listing.level(f, self.cfg.ignore, self.cfg.owned)}
         seen = W.observe(self.spark, folders, self.cfg.ignore, self.cfg.owned)
-        return W.start(seen, self.handle_settled, f"{self.stages}/watch", self.cfg.watch.settle_seconds, self.cfg.watch.interval, existing, once)
+        return W.start(seen, self.handle_settled, self.watch_state(folders), self.cfg.watch.settle_seconds, self.cfg.watch.interval, existing, once)
+
+    def watch_state(self, folders: list[str]) -> str:
+        """Where a watch of these folders keeps its state, so that it is taken up again after a restart."""
+        return f"{self.state}/watch-{hashlib.sha256(json.dumps(sorted(folders)).encode()).hexdigest()[:12]}"
 
     def sweep(self, folders: list[str]) -> list[dict]:
         """Handles everything there is now, except what changed within the settle time."""

@@ -382,7 +382,7 @@ _PREVIEW = f"substr('Type: text (TXT). Size: ' || CASE WHEN n_chars > 1e6 THEN f
 
 @register("ex0_preview", f"SELECT doc_id, sha256({_PREVIEW}) AS sha256, length({_PREVIEW}) AS n FROM documents")
 def preview(spark: SparkSession, d: str) -> DataFrame:
-    p = text.preview(F.lit("text (TXT)"), F.col("n_chars"), F.lit("2024-01-02").cast("timestamp"), F.col("text"))
+    p = text.described(F.lit("text (TXT)"), F.col("n_chars"), F.lit("2024-01-02").cast("timestamp"), F.col("text"))
     return table(spark, d, "documents").select("doc_id", F.sha2(p, 256).alias("sha256"), F.length(p).cast("long").alias("n"))
 
 
@@ -411,8 +411,9 @@ def parse_choice(spark: SparkSession, d: str) -> DataFrame:
 @register("jn2_cache_lookup", "SELECT doc_id, doc_id % 3 = 0 AS hit FROM documents")
 def cache_lookup(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("key"))
-    held = rows.where("doc_id % 3 = 0").select("key", F.lit(1).alias("verdict"))
-    return rows.join(held, "key", "left").select("doc_id", F.col("verdict").isNotNull().alias("hit"))
+    held = rows.where("doc_id % 3 = 0").select("key", F.lit("A").alias("category"), F.lit(0.9).alias("confidence"), F.array(F.lit("B")).alias("alternatives"), F.lit("r").alias("reason"))
+    hits, misses = cascade.by_cache(rows, held)
+    return hits.select("doc_id", (F.col("via") == "cache").alias("hit")).unionByName(misses.select("doc_id", F.lit(False).alias("hit")))
 
 
 @register("jn3_embed_missing", "SELECT md5(text) AS key FROM documents GROUP BY text HAVING count_if(doc_id % 3 = 0) = 0")
@@ -434,11 +435,12 @@ scores AS (SELECT doc_id, ord, category, list_cosine_similarity(e, list_transfor
 
 @register("md1_bow_embed_classify", f"WITH {_BOW} SELECT doc_id, category, round(score, 6) AS score FROM scores QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, ord) = 1")
 def bow_embed_classify(spark: SparkSession, d: str) -> DataFrame:
-    low = F.lower("text")
-    bag = F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w) + 0.01 for w in WORDS])
+    from .models import WordBag, embed_column
+
     cats = spark.createDataFrame([(i, w, [1.01 if j == i else 0.01 for j in range(len(WORDS))]) for i, w in enumerate(WORDS)], "ord int, category string, vec array<double>")
-    best = rank.ranked(table(spark, d, "documents").select("doc_id", bag.alias("vec")), cats)
-    return best.select("doc_id", F.get("ranked", F.lit(0))["category"].alias("category"), F.round(F.get("ranked", F.lit(0))["score"], 6).alias("score"))
+    rows = embed_column(table(spark, d, "documents").select("doc_id", "text"), WordBag(WORDS)).select("doc_id", "vec")
+    best = F.get("ranked", F.lit(0))
+    return rank.ranked(rows, cats).select("doc_id", best["category"].alias("category"), F.round(best["score"], 6).alias("score"))
 
 
 # Clustering: labels stand for clusters
@@ -490,7 +492,7 @@ def cluster_centroid(spark: SparkSession, d: str) -> DataFrame:
 
 @register("ag8_group_sizes", "SELECT label AS cluster, count(*) AS n, count(*) >= 2 AS grouped FROM embeddings GROUP BY label")
 def group_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return clustered(spark, d).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumn("grouped", F.col("n") >= 2)
+    return cluster.sizes(clustered(spark, d))
 
 
 @register("ag9_merge_groups", "SELECT CASE WHEN path IN (2) THEN NULL ELSE 'Area/Topic ' || path END AS path, count(*) AS n_members, count(DISTINCT label) AS n_groups, sum(vec_id)::BIGINT AS id_sum FROM (SELECT vec_id, label, label % 4 AS path FROM embeddings) GROUP BY 1".replace("count(*) AS n_members", "count(*)::INT AS n_members").replace("count(DISTINCT label) AS", "count(DISTINCT label)::INT AS"))
@@ -549,11 +551,11 @@ def first_settled(spark: SparkSession, d: str) -> DataFrame:
 @register("st2_settle_stream", _FIRST)
 def settle_stream(spark: SparkSession, d: str) -> DataFrame:
     """The stateful stream over the same events, drained at once; its state lives in the checkpoint folder."""
-    import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sortwright-")
-    at = f"{root}/settle-{uuid.uuid4().hex}"
+    from .runtime import shared_root
+
+    at = f"{shared_root(spark)}/settle-{uuid.uuid4().hex}"
     schema = table(spark, d, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     ts = F.col("ts").cast("timestamp")
@@ -582,3 +584,6 @@ def folder_signature(spark: SparkSession, d: str) -> DataFrame:
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Ranked verdicts with margin, confidence and review for every embedding."""
     return decided(spark, d).select("vec_id", "category", "confidence", "via", "review", F.array_join("alternatives", ",").alias("alternatives"))
+
+
+from . import queries_files  # noqa: E402, F401  (registers its queries here)

@@ -12,6 +12,23 @@ from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_own_roots: dict[str, str] = {}
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder for stages that the whole cluster shares: ``spark.checkpoint.dir`` of the session.
+
+    A session on this machine alone may leave it unset and gets a temporary folder; a cluster may not.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own_roots:
+        _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="sortwright-")
+    return _own_roots[app]
 
 
 def by_value(module: str) -> None:

@@ -124,37 +124,32 @@ class FolderListing(DataSource):
 
 
 class ObservationReader(SimpleDataSourceStreamReader):
-    """Offsets are trigger numbers; a trigger's rows are kept until they are committed."""
+    """An offset is a trigger's number with its listing (root, name, kind, signature, time): it is what the stream's own
+    checkpoint keeps, so a restarted watch reads the same rows again and sees what went away meanwhile."""
 
     def __init__(self, options: dict) -> None:
         self.roots, self.ignore = json.loads(options["roots"]), json.loads(options.get("ignore", "[]"))
         self.owned = set(json.loads(options.get("owned", "[]")))
-        self.before: set[str] = set()
-        self.held: dict[int, list[tuple]] = {}
 
     def initialOffset(self) -> dict:
-        return {"trigger": 0}
+        return {"trigger": 0, "at": 0.0, "seen": "{}"}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        now, rows, present = _moment(time.time()), [], set()
+        seen = {}
         for root in self.roots:
             for e in level(root, self.ignore, self.owned) if os.path.isdir(root) else []:
-                sig = signature(e.path)
-                if sig is not None:
-                    present.add(e.path)
-                    rows.append((e.path, e.name, "folder" if e.is_dir() else "file", sig, _moment(e.stat().st_mtime), now, False))
-        rows += [(p, os.path.basename(p), "", "", now, now, True) for p in sorted(self.before - present)]
-        self.before = present
-        end = start["trigger"] + 1
-        self.held[end] = rows
-        return iter(rows), {"trigger": end}
+                if (sig := signature(e.path)) is not None:
+                    seen[e.path] = ["folder" if e.is_dir() else "file", sig, e.stat().st_mtime]
+        end = {"trigger": start["trigger"] + 1, "at": time.time(), "seen": json.dumps(seen)}
+        return self.readBetweenOffsets(start, end), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([r for t in range(start["trigger"] + 1, end["trigger"] + 1) for r in self.held.get(t, [])])
+        before, seen, now = json.loads(start["seen"]), json.loads(end["seen"]), _moment(end["at"])
+        rows = [(p, os.path.basename(p), kind, sig, _moment(mtime), now, False) for p, (kind, sig, mtime) in seen.items()]
+        return iter(rows + [(p, os.path.basename(p), "", "", now, now, True) for p in sorted(before.keys() - seen.keys())])
 
     def commit(self, end: dict) -> None:
-        for t in [t for t in self.held if t <= end["trigger"]]:
-            del self.held[t]
+        """Nothing is held here."""
 
 
 class FolderObservations(DataSource):

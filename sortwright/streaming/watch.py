@@ -1,8 +1,9 @@
 """New arrivals, handled once they stop changing.
 
 A keyed processor holds, for each path, the last signature and since when it stands. A path is settled at
-the first observation at least ``settle`` after that; it is then handled once, until it goes away. The
-clock is carried in the data, so replays agree.
+the first observation at least ``settle`` after that; it is then handled once, until it goes away. A path that was there
+before the watch counts as handled until it goes away; that it went is kept, so it is handled when it comes back.
+The clock is carried in the data, so replays agree.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ class Settle(StatefulProcessor):
             elif at.timestamp() - since >= self.seconds:
                 out.append(Row(path=path, sig=sig, since=datetime.fromtimestamp(since, at.tzinfo), settled_at=at))
                 handled = True
-        if sig is None and not handled:
+        if sig is None and not handled and path not in self.preset:
             self.state.clear()
         else:
             self.state.update((sig, since, handled))
@@ -67,10 +68,11 @@ def settle_stream(observations: DataFrame, seconds: float = 8, existing: set[str
 
 
 def settled_runs(observations: DataFrame, seconds: float, order: str = "seq") -> DataFrame:
-    """The same over a finished table, as gaps and islands: path, sig, since and settled_at of every settled run."""
+    """The same over a finished table, as gaps and islands: path, sig, since and settled_at of every settled run. A path
+    that is gone ends its run, so the same signature later is a new one."""
     w = Window.partitionBy("path").orderBy("observed_at", order)
-    change = F.coalesce((F.lag("sig").over(w) != F.col("sig")).cast("int"), F.lit(1))
-    runs = observations.withColumn("_run", F.sum(change).over(w))
+    change = F.coalesce(((F.lag("sig").over(w) != F.col("sig")) | F.col("gone") | F.lag("gone").over(w)).cast("int"), F.lit(1))
+    runs = observations.withColumn("_run", F.sum(change).over(w)).where(~F.col("gone"))
     begun = runs.withColumn("since", F.min("observed_at").over(Window.partitionBy("path", "_run")))
     late = begun.where(F.expr(f"timestampdiff(MICROSECOND, since, observed_at) >= {int(seconds * 1e6)}"))
     return late.groupBy("path", "_run").agg(F.min("observed_at").alias("settled_at"), F.first("since").alias("since"), F.first("sig").alias("sig")).drop("_run")

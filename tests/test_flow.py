@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 
@@ -107,9 +107,9 @@ def stream(spark, tmp_path, batches, seconds, existing=None):
 def test_settle_timing(spark, tmp_path):
     batches = [
         [(0, "old", "1", False), (0, "trip", "1", False), (0, "odd", "1", False)], [(2, "trip", "2", False), (2, "odd", "1", False)], [(6, "odd", "1", False), (6, "trip", "2", False)],
-        [(8, "trip", "2", False), (8, "odd", "1", False)], [(9, "odd", "", True)], [(10, "odd", "1", False)], [(15, "odd", "1", False), (15, "old", "1", False)],
+        [(8, "trip", "2", False), (8, "odd", "1", False)], [(9, "odd", "", True)], [(10, "odd", "1", False)], [(15, "odd", "1", False), (15, "old", "1", False)], [(16, "old", "", True)], [(17, "old", "1", False)], [(22, "old", "1", False)],
     ]
-    assert stream(spark, tmp_path, batches, 5, {"old"}) == [("odd", 6), ("odd", 15), ("trip", 8)]
+    assert stream(spark, tmp_path, batches, 5, {"old"}) == [("odd", 6), ("odd", 15), ("old", 22), ("trip", 8)]
 
 
 def test_watch_sweep_and_routes(spark, tmp_path, inbox):
@@ -123,15 +123,24 @@ def test_watch_sweep_and_routes(spark, tmp_path, inbox):
     assert routes["app.dmg"] == "left" and routes["refund.txt"] == "filed" and "fresh.txt" not in routes and "fresh.txt" in os.listdir(inbox)
 
 
+def test_settled_runs_end_when_a_path_goes(spark):
+    t0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    rows = [(0, "a", "1", False), (3, "a", "1", False), (4, "a", "", True), (5, "a", "1", False), (8, "a", "1", False), (11, "a", "1", False)]
+    df = spark.createDataFrame([(i, p, s, t0 + timedelta(seconds=t), g) for i, (t, p, s, g) in enumerate(rows)], "seq int, path string, sig string, observed_at timestamp, gone boolean")
+    found = [(r["sig"], r["since"].timestamp() - t0.timestamp(), r["settled_at"].timestamp() - t0.timestamp()) for r in W.settled_runs(df, 5).collect()]
+    assert found == [("1", 5.0, 11.0)]
+
+
 def test_observation_reader(tmp_path):
     import json
 
     (tmp_path / "a").write_text("1")
-    reader = listing.ObservationReader({"roots": json.dumps([str(tmp_path)])})
-    first, end = reader.read({"trigger": 0})
+    options = {"roots": json.dumps([str(tmp_path)])}
+    reader = listing.ObservationReader(options)
+    first, end = reader.read(reader.initialOffset())
     assert [(r[1], r[6]) for r in first] == [("a", False)]
     (tmp_path / "a").unlink()
-    rows, end = reader.read(end)
-    assert [(r[1], r[6]) for r in rows] == [("a", True)] and list(reader.readBetweenOffsets({"trigger": 1}, end))
-    reader.commit(end)
-    assert not reader.held
+    # Another reader, after a restart, knows from the offset alone what was there.
+    rows, last = listing.ObservationReader(options).read(json.loads(json.dumps(end)))
+    assert [(r[1], r[6]) for r in rows] == [("a", True)]
+    assert [(r[1], r[6]) for r in listing.ObservationReader(options).readBetweenOffsets(end, last)] == [("a", True)]
