@@ -1,40 +1,42 @@
 """Intermediate tables in the folder that the whole cluster shares.
 
-A staged table cuts lineage and survives the loss of executors. The root is
-``spark.checkpoint.dir`` of the session; only where that is unset (tests, a
-laptop) a local folder is used instead.
+A staged table cuts lineage and survives the loss of executors. Its root is ``runtime.shared_root``.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..runtime import ship
-
-_own_roots: dict[str, str] = {}
+from ..runtime import shared_root, ship
 
 #: Frees the shuffle files of a finished write at once rather than at the next garbage collection.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_made: list[str] = []
 
 
-def shared_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        app = spark.sparkContext.applicationId
-        root = _own_roots.get(app) or _own_roots.setdefault(app, "file://" + tempfile.mkdtemp(prefix="sortwright-"))
-    return f"{root.rstrip('/')}/sortwright"
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Deletes the workspaces made inside, but for lasting ones, once what was read from them is written elsewhere."""
+    mark = len(_made)
+    yield
+    for path in _made[mark:]:
+        Workspace.remove(spark, path)
+    del _made[mark:]
 
 
 class Workspace:
     """A folder of staged tables. Tables that later steps no longer need can be dropped early."""
 
-    def __init__(self, spark: SparkSession, name: str) -> None:
+    def __init__(self, spark: SparkSession, name: str, lasting: bool = False) -> None:
         ship(spark)
         self.spark = spark
-        self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.path = f"{shared_root(spark)}/sortwright/{name}-{uuid.uuid4().hex}"
+        if not lasting:
+            _made.append(self.path)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"

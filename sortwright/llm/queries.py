@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def token_file(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    path = Workspace(spark, "token-file").path
+    path = Workspace(spark, "token-file", lasting=True).path
     huffman.write_tokens(docs, path, vocabulary_path())
     return huffman.read_digests(spark, path)
 

@@ -32,6 +32,21 @@ def test_pipeline(spark):
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 0
 
 
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Null and empty texts, null and repeated ids, and a clashing column pass; copies and passages of the benchmark go."""
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, text, "a"), (2, text.upper(), "a"), (3, None, None), (4, "", "a"), (None, None, None), (None, "few words", "b"), (7, "same id one two three four", "b"), (7, "same id one two three four", "b"), (8, " ".join(f"q{i}" for i in range(20)), "b")]
+    docs = spark.createDataFrame([(*r, "en", 1, "x") for r in rows], "doc_id long, text string, source string, lang string, n_chars long, digest string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(20)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, None, None), (9, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {r["doc_id"] for r in out}
+    assert 1 in kept and not {2, 8} & kept
+    docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_toxicity_query(spark):
     found = queries.op4_toxicity(spark, SMALL)
     assert found.count() == queries.table(spark, SMALL, "documents").count() and found.where("severity < 0 or p_toxic > 1").count() == 0
