@@ -2,6 +2,9 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns what it keeps
 of docs: all but the last return the columns of documents.
+
+Defined cases: rows with a null or empty text pass every stage; rows of one id are near duplicates of one another if they have
+words, and then all stay or go together; other columns travel along unchanged; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sortwright.llm import decontam, minhash, mixing, queries, toxicity
-from sortwright.llm._stage import Workspace
+from sortwright.llm._stage import Workspace, passing
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work = Workspace(spark, "pipeline")
-    docs = queries.table(spark, sf_dir, "documents")
+    """The rows of the last stage. What a stage read is deleted once its result is written; the token file stays."""
+    work = Workspace(spark, "pipeline", lasting=True)
+    docs, before = queries.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = work.save(stage(spark, docs, sf_dir), name)
+        with passing(spark):
+            docs = work.save(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            work.drop(before)
+        before = name
     return docs
