@@ -17,6 +17,7 @@ either side are fine.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -68,10 +69,12 @@ def automaton(items: list[tuple[int | None, str | None]], width: int) -> ahocora
 
 def _scan(items: Broadcast, width: int):
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    # Workers outlive a job and keep what they built, and nothing of a broadcast at their end names it lastingly.
+    key = uuid.uuid4().hex
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", spans)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = held("automaton", (items._id if hasattr(items, "_id") else id(items), width), lambda: automaton(items.value, width))
+        search = held("automaton", key, lambda: automaton(items.value, width))
         for batch in batches:
             n_words, n_hit, which_items, where = [], [], [], []
             for b in B.blocks(batch.column("text"), keep=FOLD != 0x20):

@@ -512,6 +512,14 @@ def test_contamination(spark):
         decontam.contamination(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), max_item_bytes=10)
 
 
+def test_item_sets_one_after_another(spark):
+    """A worker that still holds the automaton of other items does not use it."""
+    docs = frame(spark, [(i, f"only item{i} here", "s") for i in range(6)] * 4)
+    for i in range(6):
+        found = decontam.contamination(docs, spark.createDataFrame([(i, f"item{i}")], "item_id long, text string")).where("contaminated")
+        assert {(r["doc_id"], *r["items"]) for r in found.collect()} == {(i, i)}
+
+
 # Lines
 
 
