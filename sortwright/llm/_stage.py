@@ -38,12 +38,12 @@ class Workspace:
         if not lasting:
             _made.append(self.path)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = f"{self.path}/{name}"
         before = self.spark.conf.get(_CLEANUP, None)
         try:
             self.spark.conf.set(_CLEANUP, "true")
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").options(**options).parquet(path)
         finally:
             if before is None:
                 self.spark.conf.unset(_CLEANUP)

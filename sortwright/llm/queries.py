@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, huffman, likelihood, minhash, mixing, oracles, reputation, secrets, substring, toxicity, winnow
+from . import align, bpe, decontam, huffman, likelihood, minhash, mixing, oracles, reputation, secrets, substring, toxicity, whitening, winnow
 from ._stage import Workspace
 
 #: Where the public vocabulary is found, unless the caller says otherwise.
@@ -96,6 +96,31 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(show(base), 256).alias("base_sha256"), show(F.col("spans")).alias("spans"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened, found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    if found is None:
+        return spark.createDataFrame([], "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double")
+    error = whitening.identity_error(whitened, found)
+    explained = F.element_at(F.array(*[F.lit(float(x)) for x in found.explained]), F.col("component"))
+    rows = whitened.select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened")).withColumn("component", (F.col("place") + 1).cast("int"))
+    return rows.select("vec_id", "component", F.lit(found.n).cast("long").alias("n"), "deviation", "whitened", explained.alias("explained"), F.lit(error).alias("identity_error"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    back = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    byte_level, pieces = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align.alignment(table(spark, sf_dir, "documents"), byte_level, pieces, show=lambda groups: F.sha2(groups, 256)).withColumnRenamed("groups", "groups_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -103,7 +128,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_huffman_tokens, op2_source_mix, op3_substring_dedup, op4_toxicity, op5_minhash, op6_url_reputation, op7_quality, op8_decontaminate, op9_line_dedup, op10_secrets, pipeline]
+    found = [op1_huffman_tokens, op2_source_mix, op3_substring_dedup, op4_toxicity, op5_minhash, op6_url_reputation, op7_quality, op8_decontaminate, op9_line_dedup, op10_secrets, op11_whitening, op12_byte_bpe, op13_alignment, pipeline]
     return {f.__name__: f for f in found}
 
 
