@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import matches
+from ..runtime import staged
 
 
 def first_rule(name: Column, rules: list) -> Column:
@@ -52,23 +53,15 @@ def even_sample(df: DataFrame, order: str, limit: int) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
-    """Adds the row number (from 0) in the order of a column, without a global window."""
+    """Adds the row number (from 0) in the order of a column, nulls first, without a global window.
+
+    Rows are dealt by ranges of the order and written down with their range, so ranges are counted and numbered from the same rows.
+    """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    numeric = dict(df.dtypes)[order] in ("int", "bigint", "double", "float")
-    cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01) if numeric else _string_cuts(df, order, parts)
-    bucket = F.lit(0)
-    for c in sorted(set(cuts)):
-        bucket = bucket + (F.col(order) > c).cast("int")
-    put = df.withColumn("_bucket", bucket)
-    sizes = put.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return put.join(F.broadcast(before.drop("_n")), "_bucket").withColumn(name, F.col("_before") + F.row_number().over(Window.partitionBy("_bucket").orderBy(order)) - 1).drop("_bucket", "_before")
-
-
-def _string_cuts(df: DataFrame, order: str, parts: int, sample: int = 2000) -> list[str]:
-    """Rough quantiles of a text column from a bounded sample by hash; they only balance the buckets."""
-    some = sorted(r[0] for r in df.select(order).where(F.col(order).isNotNull()).orderBy(F.xxhash64(order)).limit(sample).collect())
-    return [some[len(some) * i // parts] for i in range(1, parts)] if some else []
+    put = staged(df.repartitionByRange(parts, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = put.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # one row for each range
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return put.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1).drop("_range", "_before")
 
 
 def review(category: Column, confidence: Column, least: float = 0.55) -> Column:

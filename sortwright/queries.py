@@ -228,6 +228,28 @@ def free_name(spark: SparkSession, d: str) -> DataFrame:
     return plan.free_names(rows, "folder", "name", "doc_id", taken).select("doc_id", "free_name")
 
 
+_NUMBERED = "source || CASE WHEN doc_id % 4 = 1 THEN ' (' || (doc_id % 13) || ')' WHEN doc_id % 16 = 2 THEN ' (2) (' || (doc_id % 5) || ')' ELSE '' END"
+
+
+@register(
+    "wn5_numbered_names",
+    f"""WITH RECURSIVE items AS (SELECT doc_id, lang, doc_id % 9 = 0 AS folder, {_NUMBERED} || '.txt' AS name, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents),
+cut AS (SELECT *, CASE WHEN folder THEN name ELSE left(name, length(name) - 4) END AS stem, CASE WHEN folder THEN '' ELSE '.txt' END AS ext FROM items),
+step AS (SELECT lang, 0::BIGINT AS i, NULL::BIGINT AS doc_id, NULL::VARCHAR AS free_name, list(DISTINCT source || ' (3).txt') AS used FROM documents GROUP BY lang
+  UNION ALL SELECT lang, i, doc_id, free_name, list_append(used, free_name) FROM (
+    SELECT s.lang, c.i, c.doc_id, s.used, CASE WHEN NOT list_contains(s.used, c.name) THEN c.name ELSE list_filter(list_transform(range(2, len(s.used) + 3), lambda k: c.stem || ' (' || k || ')' || c.ext), lambda x: NOT list_contains(s.used, x))[1] END AS free_name
+    FROM step s JOIN cut c ON c.lang = s.lang AND c.i = s.i + 1))
+SELECT doc_id, free_name FROM step WHERE doc_id IS NOT NULL""",
+)
+def numbered_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names that are numbered themselves, files and folders, beside taken ones; the SQL takes item by item."""
+    docs = table(spark, d, "documents")
+    kind = F.when(F.col("doc_id") % 9 == 0, "folder").otherwise("file")
+    rows = docs.select("doc_id", "lang", F.concat(F.expr(_NUMBERED), F.lit(".txt")).alias("name"), kind.alias("kind"))
+    taken = docs.select("lang", F.concat("source", F.lit(" (3).txt")).alias("name"))
+    return plan.free_names(rows, "lang", "name", "doc_id", taken, "kind").select("doc_id", "free_name")
+
+
 @register("wn9_journal_undo_last", "SELECT event_id AS seq, event_type AS src FROM events ORDER BY event_id DESC LIMIT 25")
 def journal_undo_last(spark: SparkSession, d: str) -> DataFrame:
     return plan.last_moves(table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("src")), 25)

@@ -5,11 +5,12 @@ from __future__ import annotations
 import os
 import sys
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _own_roots: dict[str, str] = {}
@@ -50,3 +51,11 @@ def ship(spark: SparkSession) -> None:
                 z.write(path, path.relative_to(home.parent).as_posix())
     sc.addPyFile(str(out))
     _shipped.add(sc.applicationId)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to a table of their own in the shared folder and read again: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/sortwright/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
