@@ -20,6 +20,7 @@ from .functions.vectors import key_of
 from .operators import cascade, cluster, rank, rules
 from .plans import plan as P
 from .plans import questions as Q
+from .plans.journal import write_whole
 from .runtime import shared_root
 from .sources import extract, listing, stores
 from .streaming import watch as W
@@ -61,7 +62,7 @@ class Organizer:
         return stores.read_json(self.spark, f"{self.state}/questions.jsonl", stores.QUESTION)
 
     def _write_queue(self, rows: list[dict]) -> None:
-        (Path(self.state) / "questions.jsonl").write_text("".join(json.dumps(r, ensure_ascii=False) + "\n" for r in rows), encoding="utf-8")
+        write_whole(f"{self.state}/questions.jsonl", "".join(json.dumps(r, ensure_ascii=False) + "\n" for r in rows))
 
     # Classification
 

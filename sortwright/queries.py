@@ -255,6 +255,25 @@ def journal_undo_last(spark: SparkSession, d: str) -> DataFrame:
     return plan.last_moves(table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("src")), 25)
 
 
+_STATE = "CASE l_returnflag WHEN 'R' THEN 'done' WHEN 'A' THEN CASE WHEN l_linenumber % 2 = 0 THEN 'undoing' ELSE 'undone' END ELSE 'meant' END"
+
+
+@register(
+    "sk2_journal_settled",
+    f"""WITH last AS (SELECT l_orderkey AS id, arg_max({_STATE}, {{'n': l_linenumber, 's': {_STATE}}}) AS state FROM lineitem GROUP BY 1),
+e AS (SELECT id, 'in/' || id AS src, 'home/' || id % 97 || '/' || id AS dst, state FROM last WHERE state <> 'undone'),
+present AS (SELECT 'in/' || o_orderkey AS path FROM orders WHERE o_orderstatus <> 'F' UNION SELECT 'home/' || o_orderkey % 97 || '/' || o_orderkey FROM orders WHERE o_custkey % 3 = 0)
+SELECT CAST(id AS VARCHAR) AS id, src, dst, CASE WHEN state = 'done' THEN 'moved' WHEN src IN (FROM present) THEN CASE WHEN dst IN (FROM present) THEN 'both' ELSE 'stayed' END WHEN dst IN (FROM present) THEN 'moved' ELSE 'lost' END AS outcome FROM e""",
+)
+def journal_settled(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines stand for journal lines, orders for what is there."""
+    src, dst = lambda k: F.concat(F.lit("in/"), k), lambda k: F.concat(F.lit("home/"), F.col(k) % 97, F.lit("/"), k)
+    lines = table(spark, d, "lineitem").select(F.struct("l_linenumber", F.expr(_STATE)).alias("seq"), F.col("l_orderkey").cast("string").alias("id"), src("l_orderkey").alias("src"), dst("l_orderkey").alias("dst"), F.expr(_STATE).alias("state"))
+    orders = table(spark, d, "orders")
+    present = orders.where("o_orderstatus <> 'F'").select(src("o_orderkey").alias("path")).unionByName(orders.where("o_custkey % 3 = 0").select(dst("o_orderkey").alias("path")))
+    return plan.settled(lines, present)
+
+
 @register("sc10_latest_run", "SELECT max_by(user_id, {'ts': ts, 'user_id': user_id}) AS run_id FROM events")
 def latest_run(spark: SparkSession, d: str) -> DataFrame:
     return plan.latest_run(table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("ts").alias("at")))

@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.journal import add_line
+
 EXAMPLE = "name string, snippet string, category string"
 VERDICT = "key string, category string, confidence double, alternatives array<string>, reason string"
 VECTOR = "key string, vec array<double>"
@@ -34,8 +36,7 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def add_example(path: str | Path, name: str, snippet: str, category: str, taxonomy: list[str]) -> None:
     if category not in taxonomy:
         raise ValueError(f"no category {category!r}")
-    with open(path, "a", encoding="utf-8") as f:
-        f.write(json.dumps({"name": name, "snippet": snippet[:SNIPPET], "category": category}, ensure_ascii=False) + "\n")
+    add_line(path, json.dumps({"name": name, "snippet": snippet[:SNIPPET], "category": category}, ensure_ascii=False))
 
 
 def live(examples: DataFrame, taxonomy: DataFrame) -> DataFrame:

@@ -277,9 +277,9 @@ def test_moves_and_undo(tmp_path):
     journal = P.latest_journal(tmp_path / "j")
     with pytest.raises(ValueError):
         P.undo(journal, 0)
-    assert P.undo(journal, 1) == (1, []) and (inbox / "b.txt").exists() and len(P.Journal(journal).steps()) == 1
+    assert P.undo(journal, 1) == (1, []) and (inbox / "b.txt").exists() and len(P.Journal(journal).entries()[0]) == 1
     (inbox / "a.txt").write_text("new")
-    assert P.undo(journal)[0] == 0 and len(P.Journal(journal).steps()) == 1
+    assert P.undo(journal)[0] == 0 and len(P.Journal(journal).entries()[0]) == 1
     (inbox / "a.txt").unlink()
     assert P.undo(journal) == (1, []) and (inbox / "a.txt").read_text() == "a.txt" and not journal.exists()
 
