@@ -102,34 +102,46 @@ def segments(texts: pa.Array, edges_of: Callable[[np.ndarray], np.ndarray] | Non
 
 
 class Memo:
-    """The ids of stretches seen before, in at most ``room`` bytes; ``learn`` gives those of new ones as little-endian ids."""
+    """The ids of stretches seen before, in about ``room`` bytes; ``learn`` gives those of new ones as little-endian ids.
+
+    There are two halves: a full one becomes the old one and what is asked for again moves from there, so frequent stretches stay.
+    """
 
     def __init__(self, learn: Callable[[list[bytes]], list[bytes]], width: str, room: int = MEMO_BYTES) -> None:
         self.learn, self.width, self.room, self.used = learn, width, room, 0
         self.held: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _take(self, new: list[bytes], found: list[bytes]) -> None:
+        self.held.update(zip(new, found))
+        # An entry takes some 200 bytes beside its text and ids.
+        self.used += sum(map(len, new)) + sum(map(len, found)) + 200 * len(new)
 
     def encode(self, flat: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the stretches one after another, and how many each stretch has."""
         distinct = flat.dictionary.to_pylist()
-        if self.used > self.room:
-            self.held.clear()
-            self.used = 0
-        new = list(set(distinct).difference(self.held))
+        if 2 * self.used > self.room:
+            self.old, self.held, self.used = self.held, {}, 0
+        new = set(distinct).difference(self.held)
+        known = list(new.intersection(self.old))
+        if known:
+            self._take(known, list(map(self.old.__getitem__, known)))
+            new.difference_update(known)
         if new:
-            found = self.learn(new)
-            self.held.update(zip(new, found))
-            # An entry takes some 200 bytes beside its text and ids.
-            self.used += sum(map(len, new)) + sum(map(len, found)) + 200 * len(new)
+            fresh = list(new)
+            self._take(fresh, self.learn(fresh))
         parts = list(map(self.held.__getitem__, distinct))
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // int(self.width[-1])
-        ids, begin = np.frombuffer(b"".join(parts), self.width), np.cumsum(size) - size
+        size = np.fromiter(map(len, parts), np.int32, len(parts)) // int(self.width[-1])
+        ids, begin = np.frombuffer(b"".join(parts), self.width), np.cumsum(size, dtype=np.int64) - size
         which = flat.indices.to_numpy()
         size = size[which]
-        end = np.cumsum(size)
+        end = np.cumsum(size, dtype=np.int64)
         total = int(end[-1]) if len(end) else 0
-        return ids[np.repeat(begin[which] - (end - size), size) + np.arange(total)], size
+        at = np.repeat(begin[which] - (end - size), size)
+        at += np.arange(total)
+        return ids[at], size
 
 
 def of_texts(size: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Where each text begins among the ids, from the sizes of stretches and the first stretch of each text."""
-    return np.concatenate([[0], np.cumsum(size)])[first]
+    return np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[first]

@@ -12,10 +12,11 @@ Then a postings cogroup keyed by A's ids:
   bucket, so the shuffle moves packed columns and no row for each posting;
 * in a bucket the counts come first and then the postings, as one sorted stream that Spark spills. The counts of a bucket are held,
   so the highest of each A id is known there; postings only pass by, each array giving sums for its documents;
-* these contributions are summed by document and joined back.
+* these contributions, at most one for a document and bucket, are summed by document and joined back.
 
-An A id with more than a bucket's share of the postings is dealt to several buckets, which all get its counts. A bucket
-holds about ``COUNTS`` counts; one A id has at most as many as B has ids. The totals by A id, at most one for each of A's ids, are all that
+There are as many buckets as the counts need (about ``COUNTS`` each; one A id has at most as many as B has ids), so contributions
+grow with the documents. A bucket is cut into slices of documents by the postings it has, so one with an A id that a third of
+all postings have gets more slices; each has the bucket's counts. The totals by A id, at most one for each of A's ids, are all that
 comes to the driver.
 
 Defined cases: a row is a document, so rows with equal or null ids and equal texts all count; texts that are null, empty,
@@ -38,9 +39,11 @@ from ._segments import CUTS, Memo, byte_set, ends_in_space, of_texts, piece_edge
 from ._stage import Workspace
 from ._worker import held
 
-#: Postings that a task packs at a time, and counts (and eight times as many postings) meant for a bucket.
-POSTINGS = 1 << 21
+#: Postings that a task packs at a time, counts meant for a bucket, the least number of buckets, and the most postings meant for a slice.
+POSTINGS = 1 << 20
 COUNTS = 1 << 20
+BUCKETS = 16
+SLICE = 1 << 23
 #: Groups with more links than this are counted by their distinct ids.
 LARGE = 4096
 #: Stretches encoded in one call.
@@ -182,7 +185,7 @@ class Aligner:
             [
                 doc_ids, *(pa.array(np.diff(x), pa.int64()) for x in (a_at, b_at, group_at, links)),
                 self._groups(a, b, in_a, in_b, last_a, last_b, past_a, past_b, a_at + b_at, n),
-                pa.ListArray.from_arrays(pa.array(pair_at, pa.int32()), pa.array(pairs)), pa.ListArray.from_arrays(pa.array(pair_at, pa.int32()), pa.array(times)),
+                pa.ListArray.from_arrays(pa.array(pair_at, pa.int32()), pa.array(pairs)), pa.ListArray.from_arrays(pa.array(pair_at, pa.int32()), pa.array(times, pa.int32())),
             ],
             schema=_SCHEMA,
         )
@@ -232,7 +235,7 @@ class Aligner:
         return pa.array(out, pa.binary()).cast(pa.string())
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups", pa.string()), ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups", pa.string()), ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
 
 
 def aligner(byte_level: str, pieces: str) -> Aligner:
@@ -250,95 +253,122 @@ def aligned(docs: DataFrame, byte_level: str, pieces: str, doc_id: str = "doc_id
                 yield own.block(part.column("doc_id"), part.column("text"))
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<long>"
+        run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<int>"
     )
 
 
-#: What is dealt to buckets. Counts (kind 0): pairs and their numbers. Postings (kind 1): documents, how many postings each has, and these.
-_DEALT = "bucket int, kind int, pairs array<long>, numbers array<long>, docs array<long>, runs array<int>"
-_DEALT_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.list_(pa.int64())) for c in ("pairs", "numbers", "docs")), ("runs", pa.list_(pa.int32()))])
+#: What is dealt to cells (slices of buckets). Counts (kind 0): pairs and their numbers. Postings (kind 1): documents, how many postings each has, and these.
+_DEALT = "cell int, kind int, pairs array<long>, numbers array<long>, docs array<long>, runs array<int>"
+_DEALT_SCHEMA = pa.schema([("cell", pa.int32()), ("kind", pa.int32()), ("pairs", pa.list_(pa.int64())), ("numbers", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64())), ("runs", pa.list_(pa.int32()))])
 
 
-def _spread(n: int) -> np.ndarray:
-    """A bucket-independent number for each A id."""
-    x = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((x ^ (x >> np.uint64(29))) >> np.uint64(8)).astype(np.int64) & 0x7FFFFFFF
-
-
-def _packed(kind: int, bucket: np.ndarray, pairs: np.ndarray, numbers: np.ndarray, docs: np.ndarray | None) -> pa.RecordBatch:
-    """One row for each bucket."""
-    order = np.argsort(bucket, kind="stable")
-    bucket, pairs, numbers = bucket[order], pairs[order], numbers[order]
-    new = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    at = pa.array(np.append(new, len(bucket)), pa.int32())
+@dataclass
+class Deal:
+    """bucket: of each A id. first: the first cell of each bucket. slices: how many it has."""
+
+    bucket: np.ndarray
+    first: np.ndarray
+    slices: np.ndarray
+
+    @classmethod
+    def of(cls, ids: int, postings: dict[int, int], distinct: int, tasks: int) -> Deal:
+        """postings: how many each A id has. distinct: how many pairs there are."""
+        buckets = max(BUCKETS, -(-distinct // COUNTS))
+        mixed = np.arange(ids, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        load = np.bincount(bucket[np.fromiter(postings.keys(), np.int64, len(postings))], np.fromiter(postings.values(), np.float64, len(postings)), buckets)
+        each = max(1.0, min(SLICE, load.sum() / max(tasks, buckets)))
+        slices = np.maximum(1, np.ceil(load / each)).astype(np.int64)
+        return cls(bucket, np.cumsum(slices) - slices, slices)
+
+    def cells(self) -> int:
+        return int(self.slices.sum())
+
+    def postings(self, a: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        of = self.bucket[a]
+        return self.first[of] + docs % self.slices[of]
+
+    def counts(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the counts, and to which cell: each to all of its bucket."""
+        of = self.bucket[a]
+        each = self.slices[of]
+        which = np.repeat(np.arange(len(a)), each)
+        return which, self.first[of][which] + np.arange(len(which)) - np.repeat(np.cumsum(each) - each, each)
+
+
+def _packed(kind: int, cell: np.ndarray, pairs: np.ndarray, numbers: np.ndarray, docs: np.ndarray | None) -> pa.RecordBatch:
+    """One row for each cell."""
+    order = np.argsort(cell, kind="stable")
+    cell, pairs, numbers = cell[order], pairs[order], numbers[order]
+    new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    at = pa.array(np.append(new, len(cell)), pa.int32())
     if docs is None:
         none = pa.array(np.zeros(len(new) + 1, np.int32))
         who, runs = pa.ListArray.from_arrays(none, pa.array([], pa.int64())), pa.ListArray.from_arrays(none, pa.array([], pa.int32()))
     else:
         docs = docs[order]
-        turn = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (bucket[1:] != bucket[:-1])]))
+        turn = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (cell[1:] != cell[:-1])]))
         of = pa.array(np.append(np.searchsorted(turn, new), len(turn)), pa.int32())
         who, runs = pa.ListArray.from_arrays(of, pa.array(docs[turn])), pa.ListArray.from_arrays(of, pa.array(np.diff(np.append(turn, len(docs))), pa.int32()))
     return pa.record_batch(
-        [pa.array(bucket[new], pa.int32()), pa.array(np.full(len(new), kind), pa.int32()), pa.ListArray.from_arrays(at, pa.array(pairs)), pa.ListArray.from_arrays(at, pa.array(numbers)), who, runs],
+        [pa.array(cell[new], pa.int32()), pa.array(np.full(len(new), kind), pa.int32()), pa.ListArray.from_arrays(at, pa.array(pairs, pa.int64())), pa.ListArray.from_arrays(at, pa.array(numbers, pa.int64())), who, runs],
         schema=_DEALT_SCHEMA,
     )
 
 
-def _deal_postings(across: int, home: np.ndarray, copies: np.ndarray, buckets: int, postings: int):
+def _deal_postings(across: int, deal: Deal, postings: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_, room = [], 0
+        kept, room = [], 0
 
         def flush() -> pa.RecordBatch:
-            pairs, times = (np.concatenate([b.column(c).flatten().to_numpy() for b in held_]) for c in ("pairs", "times"))
-            docs = np.concatenate([np.repeat(b.column("key").to_numpy(), b.column("n").to_numpy()) for b in held_])
-            a = pairs // across
-            return _packed(1, (home[a] + docs % copies[a]) % buckets, pairs, times, docs)
+            pairs, times = (np.concatenate([b.column(c).flatten().to_numpy() for b in kept]) for c in ("pairs", "times"))
+            docs = np.concatenate([np.repeat(b.column("key").to_numpy(), b.column("n").to_numpy()) for b in kept])
+            return _packed(1, deal.postings(pairs // across, docs), pairs, times, docs)
 
         for batch in batches:
-            size = np.cumsum(batch.column("n").to_numpy())
+            size = np.cumsum(batch.column("n").to_numpy().astype(np.int64))
             row = 0
             while row < len(batch):
-                stop = max(row + 1, int(np.searchsorted(size, (size[row - 1] if row else 0) + postings, "right")))
-                held_.append(batch.slice(row, stop - row))
-                room += int(size[stop - 1] - (size[row - 1] if row else 0))
+                before = size[row - 1] if row else 0
+                stop = max(row + 1, int(np.searchsorted(size, before + postings - room, "right")))
+                kept.append(batch.slice(row, stop - row))
+                room += int(size[stop - 1] - before)
                 row = stop
-                if room >= postings:
+                if room >= postings or row < len(batch):
                     yield flush()
-                    held_, room = [], 0
+                    kept, room = [], 0
         if room:
             yield flush()
 
     return run
 
 
-def _deal_counts(across: int, home: np.ndarray, copies: np.ndarray, buckets: int):
+def _deal_counts(across: int, deal: Deal):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs, n = batch.column("pair").to_numpy(), batch.column("n").to_numpy()
-            if not len(pairs):
-                continue
-            each = np.minimum(copies[pairs // across], buckets)
-            turn = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
-            pairs, n = np.repeat(pairs, each), np.repeat(n, each)
-            yield _packed(0, (home[pairs // across] + turn) % buckets, pairs, n, None)
+            # Some counts at a time, as a bucket may have many slices.
+            step = max(1, POSTINGS // int(deal.slices.max()))
+            for i in range(0, len(pairs), step):
+                which, cell = deal.counts(pairs[i : i + step] // across)
+                yield _packed(0, cell, pairs[i : i + step][which], n[i : i + step][which], None)
 
     return run
 
 
 def _meet(across: int):
-    """Sums for each document of a packed posting row, from a stream in which a bucket's counts precede its postings."""
+    """Sums for the documents of each packed posting row, from a stream in which a cell's counts precede its postings."""
     schema = pa.schema([("key", pa.int64()), ("n_best", pa.int64()), ("count_sum", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, parts, pairs = None, [], None
+        cell, parts, pairs = None, [], None
         n = best = np.empty(0, np.int64)
         for batch in batches:
             for row in range(len(batch)):
-                of, kind = batch.column("bucket")[row].as_py(), batch.column("kind")[row].as_py()
+                of, kind = batch.column("cell")[row].as_py(), batch.column("kind")[row].as_py()
                 own, numbers = (batch.column(c)[row].values.to_numpy() for c in ("pairs", "numbers"))
-                if of != bucket:
-                    bucket, parts, pairs = of, [], None
+                if of != cell:
+                    cell, parts, pairs = of, [], None
                 if kind == 0:
                     parts.append((own, numbers))
                     continue
@@ -369,16 +399,11 @@ def alignment(docs: DataFrame, byte_level: str, pieces: str, doc_id: str = "doc_
     rows = work.save(found.select(F.monotonically_increasing_id().alias("key"), "doc_id", "n_a", "n_b", "n_groups", "n_links", groups.alias("groups"), F.size("pairs").alias("n"), "pairs", "times"), "rows", compression="zstd")
     counts = work.save(rows.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n")), "counts")
     totals = counts.groupBy(F.floor(F.col("pair") / across).cast("int").alias("a")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pairs")).collect()
-    postings, distinct = sum(r["n"] for r in totals), sum(r["pairs"] for r in totals)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(4 * parts, -(-distinct // COUNTS), -(-postings // (8 * COUNTS)))
-    copies = np.ones(ids, np.int64)
-    for r in totals:
-        copies[r["a"]] = min(buckets, max(1, r["n"] * buckets // max(postings, 1)))
-    home = _spread(ids) % buckets
-    dealt = rows.select("key", "n", "pairs", "times").where("n > 0").mapInArrow(_deal_postings(across, home, copies, buckets, POSTINGS), _DEALT)
-    dealt = counts.mapInArrow(_deal_counts(across, home, copies, buckets), _DEALT).unionByName(dealt)
-    met = dealt.repartition(max(parts, buckets // 4), "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_meet(across), "key long, n_best long, count_sum long")
+    deal = Deal.of(ids, {r["a"]: r["n"] for r in totals}, sum(r["pairs"] for r in totals), 4 * parts)
+    dealt = rows.select("key", "n", "pairs", "times").where("n > 0").mapInArrow(_deal_postings(across, deal, POSTINGS), _DEALT)
+    dealt = counts.mapInArrow(_deal_counts(across, deal), _DEALT).unionByName(dealt)
+    met = dealt.repartition(max(parts, deal.cells() // 4), "cell").sortWithinPartitions("cell", "kind").mapInArrow(_meet(across), "key long, n_best long, count_sum long")
     sums = met.groupBy("key").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     whole = rows.select("key", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups").join(sums, "key", "left")
     return whole.select("doc_id", "n_a", "n_b", "n_groups", "n_links", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")), "groups")
