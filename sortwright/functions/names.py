@@ -2,18 +2,48 @@
 
 from __future__ import annotations
 
-import fnmatch
 import ipaddress
+import re
 from urllib.parse import urlparse
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: A star, a question mark, a class with its content, or any other character.
+_PIECE = re.compile(r"(\*+)|(\?)|\[(!?)(\]?[^\]]*)\]|(.)", re.S)
+
+
+def _class(inside: str, negated: bool) -> str:
+    """A character class by code points, so nothing in it has a meaning of its own to Java."""
+    items, i = [], 0
+    while i < len(inside):
+        last = inside[i + 2] if inside[i + 1 : i + 2] == "-" and i + 2 < len(inside) else inside[i]
+        if inside[i] <= last:
+            items.append(f"\\x{{{ord(inside[i]):x}}}-\\x{{{ord(last):x}}}")
+        i += 3 if i + 2 < len(inside) and inside[i + 1] == "-" else 1
+    if not items:
+        return "." if negated else "(?!)"
+    return f"[{'^' if negated else ''}{''.join(items)}]"
+
+
+def _translated(glob: str) -> str:
+    out = []
+    for star, one, no, inside, char in _PIECE.findall(glob):
+        if star:
+            out.append(".*")
+        elif one:
+            out.append(".")
+        elif char:
+            out.append(char if char.isalnum() else f"\\x{{{ord(char):x}}}")
+        else:
+            out.append(_class(inside, bool(no)) if inside else re.escape(f"[{no}]"))
+    return "".join(out)
+
+
 def glob_regex(patterns: list[str]) -> str:
     """One anchored expression for case-insensitive globs; it is matched against lower-cased names."""
-    parts = [fnmatch.translate(p.lower()).replace(r"\Z", "").replace(r"\z", "") for p in patterns]
-    return "^(?:" + "|".join(parts) + r")\z" if parts else r"\A(?!)"
+    return r"(?s)\A(?:" + "|".join(_translated(p.lower()) for p in patterns) + r")\z" if patterns else r"\A(?!)"
 
 
 def matches(name: Column, patterns: list[str]) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import matches
 from ..runtime import staged
+from .ruleindex import first_rule_join
 
 
 def first_rule(name: Column, rules: list) -> Column:
@@ -19,13 +20,6 @@ def first_rule(name: Column, rules: list) -> Column:
     return out
 
 
-def first_rule_join(entries: DataFrame, rules: DataFrame, name: str = "name") -> DataFrame:
-    """The same for a table of rules (ord, regex, category, action), joined by its expressions."""
-    small = F.broadcast(rules)
-    hit = entries.join(small, F.rlike(F.lower(F.col(name)), F.col("regex")), "left")
-    return hit.groupBy(*entries.columns).agg(F.min_by(F.struct("ord", "category", "action"), "ord").alias("rule"))
-
-
 def not_ignored(name: Column, ignore: list[str]) -> Column:
     return ~matches(name, ignore) if ignore else F.lit(True)
 
@@ -67,3 +61,6 @@ def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
 def review(category: Column, confidence: Column, least: float = 0.55) -> Column:
     """Unsure: no category, or confidence (not yet rounded) below the least."""
     return category.isNull() | (confidence < least)
+
+
+__all__ = ["even_sample", "first_rule", "first_rule_join", "not_ignored", "numbered", "review", "visible_within", "without_owned"]

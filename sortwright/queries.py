@@ -320,10 +320,27 @@ def rule_first_match(spark: SparkSession, d: str) -> DataFrame:
 
 @register("jn1_rule_join", f"SELECT p_partkey, {_globs(RULES)} AS ord FROM part")
 def rule_join(spark: SparkSession, d: str) -> DataFrame:
-    held = spark.createDataFrame([(i, names.glob_regex(r.patterns), r.category, r.action) for i, r in enumerate(RULES)], "ord int, regex string, category string, action string")
+    held = spark.createDataFrame([(i, p, r.category, r.action) for i, r in enumerate(RULES) for p in r.patterns], "ord int, pattern string, category string, action string")
     return rules.first_rule_join(files(spark, d), held).select("p_partkey", "rule.ord")
 
 
+_MADE = "CASE o_orderkey % 6 WHEN 0 THEN p_name || '.*' WHEN 1 THEN '*' || right(p_name, 9) || '*' || left(lower(p_type), 9) || '*' WHEN 2 THEN left(p_name, 5) || '?*' || lower(p_type) WHEN 3 THEN '*[a-f]' || right(lower(p_type), 4) || '*' || right(p_name, 6) || '?' || lower(p_type) WHEN 4 THEN '*.x' || lower(p_type) ELSE substr(p_name, 2) || '.*' END"
+
+
+@register(
+    "jn1_rule_index",
+    f"""WITH rules AS (SELECT {_MADE} AS pattern, min(o_orderkey) AS ord FROM orders JOIN part ON p_partkey = o_custkey + o_orderkey % 7 GROUP BY 1),
+best AS (SELECT name, min(ord) AS ord FROM (SELECT DISTINCT lower({_NAME}) AS name FROM part) JOIN rules ON name GLOB lower(pattern) GROUP BY name)
+SELECT p_partkey, ord, CASE WHEN ord IS NOT NULL THEN 'C' || ord % 10 END AS category FROM part LEFT JOIN best ON lower({_NAME}) = name""",
+)
+def rule_index(spark: SparkSession, d: str) -> DataFrame:
+    """As many rules as there are orders, made from the names of parts."""
+    orders, part = table(spark, d, "orders"), table(spark, d, "part")
+    made = orders.join(part, part["p_partkey"] == orders["o_custkey"] + orders["o_orderkey"] % 7)
+    held = made.select(F.col("o_orderkey").alias("ord"), F.expr(_MADE).alias("pattern"), F.concat(F.lit("C"), F.col("o_orderkey") % 10).alias("category"), F.lit("move").alias("action"))
+    return rules.first_rule_join(files(spark, d), held).select("p_partkey", "rule.ord", "rule.category")
+
+
 @register("fl1_ignore_filter", f"SELECT p_partkey FROM part WHERE NOT (lower({_NAME}) GLOB '*.*steel' OR lower({_NAME}) GLOB '[a-c]*.small*')")
 def ignore_filter(spark: SparkSession, d: str) -> DataFrame:
     return files(spark, d).where(rules.not_ignored(F.col("name"), ["*.*STEEL", "[a-c]*.small*"])).select("p_partkey")
