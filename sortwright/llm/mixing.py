@@ -50,11 +50,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, quality: Column | None = None) -> DataFrame:
-    """One row per document: doc_id, size (words), source, source_size, target, times and taken (words, repeats counted)."""
+    """One row per document: doc_id, size (words), source, source_size, target, times, taken (words, repeats counted) and tie (a hash of the text)."""
     spark = docs.sparkSession
     work = Workspace(spark, "mixing")
     content = F.col(text).cast("string")
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double")
+    drawn = F.coalesce(F.col(doc_id).cast("string"), F.md5(F.coalesce(content, F.lit(""))))
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), drawn)), 1, 13), 16, 10).cast("double")
     rows = work.save(
         docs.select(
             F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), count(content, WORD).alias("size"),
@@ -79,11 +80,20 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     run = joined.join(before, F.expr("j.source <=> b.source and j.bucket = b.bucket")).select("j.*", "before").withColumn("upto", F.col("before") + F.sum("size").over(within))
     partly = F.when(2 * F.col("upto") - F.col("size") <= 2 * F.col("rest"), 1).otherwise(0)
     times = F.col("epochs") + F.when(F.col("epochs") < most, partly).otherwise(0)
-    return run.withColumn("times", times.cast("long")).select("doc_id", "size", "source", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
-
-
-def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents of the mix with all their columns, each as often as it is taken; rows of one id equally often."""
-    plan = mix(docs, doc_id=doc_id, **options).where("times > 0").groupBy("doc_id").agg(F.max("times").alias("times"))
-    plan = plan.select(F.col("doc_id").alias("_mix_id"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_mix_time"))
-    return docs.join(plan, docs[doc_id].cast("long").eqNullSafe(F.col("_mix_id"))).select(*[docs[c] for c in docs.columns])
+    return run.withColumn("times", times.cast("long")).select("doc_id", "size", "source", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"), "tie")
+
+
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The documents of the mix with all their columns, each as often as it is taken.
+
+    Rows are told apart by id, source and text. Equal ones are taken equally often, but for those at the end of a source's target (one
+    group a source at most), of which the first few in any order are taken once more.
+    """
+    plan = mix(docs, doc_id=doc_id, text=text, source=source, **options).groupBy("doc_id", "source", "tie").agg(F.min("times").alias("least"), F.sum("times").alias("times"), F.count(F.lit(1)).alias("n"))
+    plan = plan.where("times > 0").select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("tie").alias("_mix_tie"), F.col("least").alias("_mix_least"), (F.col("times") - F.col("least") * F.col("n")).alias("_mix_more"))
+    same = docs[doc_id].cast("long").eqNullSafe(F.col("_mix_id")) & docs[source].cast("string").eqNullSafe(F.col("_mix_source")) & F.xxhash64(docs[text].cast("string")).eqNullSafe(F.col("_mix_tie"))
+    joined = docs.join(plan, same)
+    rank = F.row_number().over(Window.partitionBy("_mix_id", "_mix_source", "_mix_tie").orderBy("_mix_more"))
+    ends = joined.where("_mix_more > 0").withColumn("_mix_times", F.col("_mix_least") + (rank <= F.col("_mix_more")).cast("long"))
+    every = joined.where("_mix_more = 0").withColumn("_mix_times", F.col("_mix_least")).unionByName(ends)
+    return every.where("_mix_times > 0").withColumn("_mix_time", F.explode(F.sequence(F.lit(1), F.col("_mix_times").cast("int")))).select(*docs.columns)
