@@ -7,8 +7,8 @@ mergeable pair leave. Ranks of pairs come from a hash table in numpy (open addre
 matrix, so a round looks up only the two pairs beside each merge. Pieces longer than ``WIDEST`` bytes would need as many
 rounds as bytes: they merge the same pairs in the same order from a heap.
 
-Rows are independent and nothing shuffles. Texts go in blocks of about 2 MB, each distinct stretch
-between places that no piece crosses is encoded once, and a memo of at most 96 MB keeps stretches between blocks.
+Rows are independent and nothing shuffles. Texts go in blocks of about 1 MB, each distinct stretch
+between places that no piece crosses is encoded once, and a memo of at most 48 MB keeps stretches between blocks.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; rows with repeated or null ids and
 equal texts are rows like others; other columns are ignored by ``encode`` and kept by ``decode``, whose result
@@ -36,6 +36,8 @@ from ._worker import held
 #: Longest piece that is merged in a matrix, and cells of one matrix.
 WIDEST = 2048
 CELLS = 1 << 21
+#: Text that is encoded at a time.
+SLICE_BYTES = 1 << 20
 #: The rank of a pair that does not merge.
 NONE = np.int32(0x7FFFFFFF)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -79,7 +81,7 @@ class PairTable:
 class Codec:
     """One per Python worker; see ``codec``."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 2 * MEMO_BYTES, widest: int = WIDEST) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = MEMO_BYTES, widest: int = WIDEST) -> None:
         self.ranks, self.pattern, self.widest = ranks, regex.compile(pattern), widest
         top = max(ranks.values()) + 1
         self.width = "<u2" if top <= 1 << 16 else "<u4"
@@ -237,7 +239,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks, pattern)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 ids, at = own.encode(part.column("text"))
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.record_batch([part.column("doc_id"), lists], names=["doc_id", "ids"])
