@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import cosine, dot, doubles, let, unit
 from ..runtime import ship
+from .knn import nearest_by_blocks
 
 #: Rows of categories or examples that may be held in one array.
 MAX_SIDE = 20_000
@@ -104,8 +105,13 @@ def shortlist(best: Column, k: int) -> Column:
     return F.slice(names, 1, k) if k else names
 
 
-def nearest(docs: DataFrame, examples: DataFrame, k: int, vec: str = "vec") -> DataFrame:
-    """Adds ``nearest``: array<struct<seq, category, (name, snippet,) score>> of the k most similar examples, earlier first on ties."""
+def nearest(docs: DataFrame, examples: DataFrame, k: int, vec: str = "vec", most: int = MAX_SIDE) -> DataFrame:
+    """Adds ``nearest``: array<struct<seq, category, (name, snippet,) score>> of the k most similar examples, earlier first on ties.
+
+    Up to ``most`` examples travel as one row, and nothing shuffles; more are dealt in blocks (``knn``).
+    """
+    if examples.limit(most + 1).count() > most:
+        return nearest_by_blocks(docs, examples, k, vec)
     more = [c for c in ("name", "snippet") if c in examples.columns]
     side = examples.select("seq", "category", unit(doubles(F.col("vec"))).alias("vec"), *more)
     out = docs.crossJoin(F.broadcast(as_side(side, "category", "vec", *more, order="seq", name="_examples")))
@@ -130,4 +136,4 @@ def pairs(docs: DataFrame, key: str = "key", vec: str = "vec", limit: int = 300)
     return a.select("i", F.explode(found).alias("p")).select("i", "p.j", "p.sim")
 
 
-__all__ = ["alternatives", "as_side", "cosine", "margin", "nearest", "pairs", "ranked", "ranked_by_blocks", "shortlist", "similar_threshold", "taught"]
+__all__ = ["alternatives", "as_side", "cosine", "margin", "nearest", "nearest_by_blocks", "pairs", "ranked", "ranked_by_blocks", "shortlist", "similar_threshold", "taught"]

@@ -136,6 +136,18 @@ def knn_examples(spark: SparkSession, d: str) -> DataFrame:
     return rank.nearest(rows, seeds(rows), 4).select("vec_id", F.posexplode("nearest").alias("p", "n")).select("vec_id", (F.col("p") + 1).alias("rank"), "n.seq", F.round("n.score", 6).alias("score"))
 
 
+_ALL_NEAR = f"WITH {_V}, near AS (SELECT a.vec_id, b.vec_id AS seq, list_cosine_similarity(a.e, b.e) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.e, b.e), 9) DESC, b.vec_id) AS rank FROM v a, v b)"
+
+
+@register("jn7_knn_blocks", _ALL_NEAR + " SELECT vec_id, CAST(rank AS INTEGER) AS rank, seq, round(score, 6) AS score FROM near WHERE rank <= 4")
+def knn_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """All rows are examples, in blocks of some 300."""
+    rows = vectors(spark, d)
+    held = rows.select(F.col("vec_id").alias("seq"), F.col("truth").cast("string").alias("category"), "vec")
+    found = rank.nearest_by_blocks(rows.select("vec_id", "vec"), held, 4, size=300 * 8 * 64)
+    return found.select("vec_id", F.posexplode("nearest").alias("p", "n")).select("vec_id", (F.col("p") + 1).alias("rank"), "n.seq", F.round("n.score", 6).alias("score"))
+
+
 @register("wn3_alternatives", f"WITH {_RANKED} SELECT vec_id, string_agg(CAST(category AS VARCHAR), ',' ORDER BY rank) FILTER (rank BETWEEN 2 AND 4) AS alternatives, string_agg(CAST(category AS VARCHAR), ',' ORDER BY rank) FILTER (rank <= 3) AS shortlist FROM ranked GROUP BY vec_id")
 def alternatives(spark: SparkSession, d: str) -> DataFrame:
     return ranking(spark, d).select("vec_id", F.array_join(rank.alternatives(F.col("ranked")), ",").alias("alternatives"), F.array_join(rank.shortlist(F.col("ranked"), 3), ",").alias("shortlist"))
