@@ -218,10 +218,10 @@ class Organizer:
 
     def watch(self, folders: list[str], include_existing: bool = False, once: bool = False):  # noqa: ANN201
         # A watch that is taken up again knows from its state what it has handled.
-        again = Path(self.watch_state(folders)).exists()
-        existing = set() if include_existing or again else {e.path for f in folders if Path(f).is_dir() for e in listing.level(f, self.cfg.ignore, self.cfg.owned)}
-        seen = W.observe(self.spark, folders, self.cfg.ignore, self.cfg.owned)
-        return W.start(seen, self.handle_settled, self.watch_state(folders), self.cfg.watch.settle_seconds, self.cfg.watch.interval, existing, once)
+        new = not include_existing and not Path(self.watch_state(folders)).exists()
+        existing = self.save(W.present(self.spark, folders, self.cfg.ignore, self.cfg.owned), "existing") if new else None
+        looks = W.observe(self.spark, folders, self.cfg.ignore, self.cfg.owned)
+        return W.start(looks, self.handle_settled, self.watch_state(folders), self.cfg.watch.settle_seconds, self.cfg.watch.interval, existing, once)
 
     def watch_state(self, folders: list[str]) -> str:
         """Where a watch of these folders keeps its state, so that it is taken up again after a restart."""

@@ -635,6 +635,30 @@ def settle_stream(spark: SparkSession, d: str) -> DataFrame:
     return _micros(spark.read.schema("path string, sig string, since timestamp, settled_at timestamp").parquet(f"{at}/out"))
 
 
+@register("st1_watch_restart", "SELECT DISTINCT 'part=' || event_id % 40 AS name FROM events WHERE event_id % 40 % 3 <> 0 AND event_id % 40 < 30")
+def watch_restart(spark: SparkSession, d: str) -> DataFrame:
+    """Folders written from the events and watched over a restart: those there before are left alone, those that come between the
+    two looks are not settled yet."""
+    import uuid
+
+    from .runtime import shared_root
+
+    at = f"{shared_root(spark)}/watch-{uuid.uuid4().hex}"
+    box = f"{at}/box".removeprefix("file://")
+    events = table(spark, d, "events").withColumn("part", F.col("event_id") % 40)
+    put = lambda rows: rows.write.partitionBy("part").mode("append").parquet(f"{at}/box")
+    put(events.where("part % 3 = 0"))
+    before = watch.present(spark, [box], ["_*", ".*"])
+    before.write.parquet(f"{at}/before")
+    put(events.where("part % 3 <> 0 and part < 30"))
+    for _ in range(2):
+        looks = watch.observe(spark, [box], ["_*", ".*"])
+        found = watch.watch_stream(looks, 0, spark.read.schema(before.schema).parquet(f"{at}/before"))
+        found.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+        put(events.where("part >= 30"))
+    return spark.read.schema("path string").parquet(f"{at}/out").select(F.element_at(F.split("path", "/"), -1).alias("name"))
+
+
 @register("st5_sweep_ready", "SELECT event_id, epoch_us(ts) <= epoch_us(TIMESTAMP '2024-01-20 00:00:00') - 8000000 AS ready FROM events")
 def sweep_ready(spark: SparkSession, d: str) -> DataFrame:
     entries = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("mtime"))

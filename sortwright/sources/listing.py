@@ -2,7 +2,7 @@
 
 Spark's own file index hides names that begin with a dot or underscore and lists no folders, and its
 stream never returns to a changed path. ``folder_listing`` lists one level or a tree, in parallel over
-the given roots; ``folder_observations`` is its stream: what is there at each trigger, and what has gone.
+the given roots; ``folder_observations`` is what is there now, once or at each trigger of a stream.
 Both see the file systems that executors mount.
 """
 
@@ -12,17 +12,20 @@ import fnmatch
 import json
 import os
 import time
+import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..runtime import by_value, ship
 
 ENTRY = "path string, name string, rel string, kind string, size long, mtime timestamp, head binary, tail binary"
-OBSERVATION = "path string, name string, kind string, sig string, mtime timestamp, observed_at timestamp, gone boolean"
+OBSERVATION = "root string, shard int, path string, name string, kind string, sig string, mtime timestamp, observed_at timestamp"
+#: Tasks, and keys of state, for each watched folder.
+SHARDS = 4
 #: Files of a folder counted for its signature before it stops.
 MANY = 2000
 
@@ -123,36 +126,56 @@ class FolderListing(DataSource):
         return ListingReader(self.options)
 
 
-class ObservationReader(SimpleDataSourceStreamReader):
-    """An offset is a trigger's number with its listing (root, name, kind, signature, time): it is what the stream's own
-    checkpoint keeps, so a restarted watch reads the same rows again and sees what went away meanwhile."""
+class Shard(InputPartition):
+    """The entries of a root whose names fall into one shard, as seen at a time (microseconds)."""
+
+    def __init__(self, root: str, shard: int, at: int) -> None:
+        self.root, self.shard, self.at = root, shard, at
+
+
+class Observer:
+    """What both readers of observations share. A shard lists the names of its root, but looks only at its own entries."""
 
     def __init__(self, options: dict) -> None:
         self.roots, self.ignore = json.loads(options["roots"]), json.loads(options.get("ignore", "[]"))
-        self.owned = set(json.loads(options.get("owned", "[]")))
+        self.owned, self.shards = set(json.loads(options.get("owned", "[]"))), int(options.get("shards", SHARDS))
+
+    def planned(self, at: int) -> list[Shard]:
+        return [Shard(root, i, at) for root in self.roots for i in range(self.shards)]
+
+    def read(self, shard: Shard) -> Iterator[tuple]:
+        now = _moment(shard.at / 1e6)
+        # Each shard says that it looked, so that what is not there any more is missed.
+        yield shard.root, shard.shard, None, None, None, None, None, now
+        for e in level(shard.root, self.ignore, self.owned) if os.path.isdir(shard.root) else []:
+            if zlib.crc32(e.name.encode("utf-8", "surrogateescape")) % self.shards == shard.shard and (sig := signature(e.path)) is not None:
+                yield shard.root, shard.shard, e.path, e.name, "folder" if e.is_dir() else "file", sig, _moment(e.stat().st_mtime), now
 
-    def initialOffset(self) -> dict:
-        return {"trigger": 0, "at": 0.0, "seen": "{}"}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        seen = {}
-        for root in self.roots:
-            for e in level(root, self.ignore, self.owned) if os.path.isdir(root) else []:
-                if (sig := signature(e.path)) is not None:
-                    seen[e.path] = ["folder" if e.is_dir() else "file", sig, e.stat().st_mtime]
-        end = {"trigger": start["trigger"] + 1, "at": time.time(), "seen": json.dumps(seen)}
-        return self.readBetweenOffsets(start, end), end
+class ObservationReader(Observer, DataSourceReader):
+    def partitions(self) -> list[Shard]:
+        return self.planned(time.time_ns() // 1000)
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        before, seen, now = json.loads(start["seen"]), json.loads(end["seen"]), _moment(end["at"])
-        rows = [(p, os.path.basename(p), kind, sig, _moment(mtime), now, False) for p, (kind, sig, mtime) in seen.items()]
-        return iter(rows + [(p, os.path.basename(p), "", "", now, now, True) for p in sorted(before.keys() - seen.keys())])
 
-    def commit(self, end: dict) -> None:
-        """Nothing is held here."""
+class ObservationStream(Observer, DataSourceStreamReader):
+    """An offset is the time of a look and nothing else; what was there before is in the state of who reads the stream.
+
+    A batch that is run again looks again: it sees what is there then, under the time of the first look.
+    """
+
+    def initialOffset(self) -> dict:
+        return {"at": 0}
+
+    def latestOffset(self) -> dict:
+        return {"at": time.time_ns() // 1000}
+
+    def partitions(self, start: dict, end: dict) -> list[Shard]:
+        return self.planned(end["at"])
 
 
 class FolderObservations(DataSource):
+    """What is in the folders of the option roots (a JSON list), by shards of names: once, or at each trigger of a stream."""
+
     @classmethod
     def name(cls) -> str:
         return "folder_observations"
@@ -160,9 +183,12 @@ class FolderObservations(DataSource):
     def schema(self) -> str:
         return OBSERVATION
 
-    def simpleStreamReader(self, schema) -> ObservationReader:  # noqa: ANN001
+    def reader(self, schema) -> ObservationReader:  # noqa: ANN001
         return ObservationReader(self.options)
 
+    def streamReader(self, schema) -> ObservationStream:  # noqa: ANN001
+        return ObservationStream(self.options)
+
 
 def register(spark: SparkSession) -> None:
     ship(spark)

@@ -19,7 +19,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType, TimestampType
 
 from ..runtime import by_value, ship
-from ..sources.listing import register
+from ..sources.listing import SHARDS, register
 
 SETTLED = StructType([StructField("path", StringType()), StructField("sig", StringType()), StructField("since", TimestampType()), StructField("settled_at", TimestampType())])
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -58,6 +58,66 @@ class Settle(StatefulProcessor):
         pass
 
 
+class Watch(StatefulProcessor):
+    """The same for whole looks at a folder: a key is a shard of a root, its state the last look, so what a look lacks has gone.
+
+    State holds for each path its signature, since when, and whether it was handled; paths of the initial state were there before.
+    """
+
+    def __init__(self, seconds: float) -> None:
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        value = StructType([StructField("sig", StringType()), StructField("since", DoubleType()), StructField("handled", BooleanType())])
+        self.known = handle.getMapState("known", StructType([StructField("path", StringType())]), value)
+
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues) -> None:  # noqa: ANN001
+        if initialState["path"] is not None:
+            self.known.updateValue((initialState["path"],), ("", 0.0, True))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: ANN001
+        looks: dict[datetime, dict[str, str]] = {}
+        for r in rows:
+            look = looks.setdefault(r["observed_at"], {})
+            if r["path"] is not None:
+                look[r["path"]] = r["sig"]
+        known = {k[0]: tuple(v) for k, v in self.known.iterator()}
+        before, out = dict(known), []
+        for at in sorted(looks):
+            look = looks[at]
+            known = {p: v for p, v in known.items() if p in look}
+            for path, sig in sorted(look.items()):
+                old, since, handled = known.get(path, (None, 0.0, False))
+                if handled:
+                    continue
+                if old != sig:
+                    known[path] = (sig, at.timestamp(), False)
+                elif at.timestamp() - since >= self.seconds:
+                    known[path] = (sig, since, True)
+                    out.append(Row(path=path, sig=sig, since=datetime.fromtimestamp(since, at.tzinfo), settled_at=at))
+        for path in before.keys() - known.keys():
+            self.known.removeKey((path,))
+        for path, value in known.items():
+            if before.get(path) != value:
+                self.known.updateValue((path,), value)
+        yield from out
+
+    def close(self) -> None:
+        pass
+
+
+def watch_stream(looks: DataFrame, seconds: float = 8, existing: DataFrame | None = None) -> DataFrame:
+    """path, sig, since and settled_at of each settled arrival, from a stream of looks (``folder_observations``); existing: a look
+    at what was there before and counts as handled until it goes. It matters in the first batch alone."""
+    spark = looks.sparkSession
+    ship(spark)
+    by_value(__name__)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    before = existing if existing is not None else spark.createDataFrame([], "root string, shard int, path string")
+    start = before.select("root", "shard", "path").groupBy("root", "shard")
+    return looks.groupBy("root", "shard").transformWithState(Watch(seconds), SETTLED, "append", "none", start)
+
+
 def settle_stream(observations: DataFrame, seconds: float = 8, existing: set[str] | None = None) -> DataFrame:
     """path, sig, since and settled_at of each settled arrival; existing: paths to treat as handled already."""
     spark = observations.sparkSession
@@ -94,12 +154,22 @@ def route(items: DataFrame, when_unsure: str) -> DataFrame:
     return items.withColumn("route", F.when(F.col("category").isNull(), "left").when(F.col("review"), unsure).otherwise("filed"))
 
 
-def observe(spark: SparkSession, folders: list[str], ignore: list[str] = (), owned: set[str] = frozenset()) -> DataFrame:
+def _looks(spark: SparkSession, reader, folders: list[str], ignore: list[str], owned: set[str] | frozenset, shards: int):  # noqa: ANN001, ANN202
     register(spark)
-    return spark.readStream.format("folder_observations").options(roots=json.dumps(folders), ignore=json.dumps(list(ignore)), owned=json.dumps(sorted(owned))).load()
+    return reader.format("folder_observations").options(roots=json.dumps(folders), ignore=json.dumps(list(ignore)), owned=json.dumps(sorted(owned)), shards=str(shards)).load()
+
+
+def observe(spark: SparkSession, folders: list[str], ignore: list[str] = (), owned: set[str] = frozenset(), shards: int = SHARDS) -> DataFrame:
+    """A stream of looks at the folders."""
+    return _looks(spark, spark.readStream, folders, ignore, owned, shards)
+
+
+def present(spark: SparkSession, folders: list[str], ignore: list[str] = (), owned: set[str] = frozenset(), shards: int = SHARDS) -> DataFrame:
+    """One look at the folders."""
+    return _looks(spark, spark.read, folders, ignore, owned, shards)
 
 
-def start(observations: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, settle_seconds: float = 8, interval: float = 5, existing: set[str] | None = None, once: bool = False) -> StreamingQuery:
+def start(looks: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, settle_seconds: float = 8, interval: float = 5, existing: DataFrame | None = None, once: bool = False) -> StreamingQuery:
     """Runs the watch: handle gets each batch of settled paths; a batch that fails is run again."""
-    writer = settle_stream(observations, settle_seconds, existing).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).outputMode("append")
+    writer = watch_stream(looks, settle_seconds, existing).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{interval} seconds")).start()

@@ -131,16 +131,42 @@ def test_settled_runs_end_when_a_path_goes(spark):
     assert found == [("1", 5.0, 11.0)]
 
 
-def test_observation_reader(tmp_path):
-    import json
-
+def test_observation_source(spark, tmp_path):
     (tmp_path / "a").write_text("1")
-    options = {"roots": json.dumps([str(tmp_path)])}
-    reader = listing.ObservationReader(options)
-    first, end = reader.read(reader.initialOffset())
-    assert [(r[1], r[6]) for r in first] == [("a", False)]
-    (tmp_path / "a").unlink()
-    # Another reader, after a restart, knows from the offset alone what was there.
-    rows, last = listing.ObservationReader(options).read(json.loads(json.dumps(end)))
-    assert [(r[1], r[6]) for r in rows] == [("a", True)]
-    assert [(r[1], r[6]) for r in listing.ObservationReader(options).readBetweenOffsets(end, last)] == [("a", True)]
+    (tmp_path / "b").mkdir()
+    found = W.present(spark, [str(tmp_path)], shards=3)
+    rows = found.collect()
+    assert sorted((r["name"], r["kind"]) for r in rows if r["path"]) == [("a", "file"), ("b", "folder")]
+    # Every shard says that it looked, one task each, and one time is that of all.
+    assert {(r["root"], r["shard"]) for r in rows if r["path"] is None} == {(str(tmp_path), i) for i in range(3)}
+    assert found.rdd.getNumPartitions() == 3 and len({r["observed_at"] for r in rows}) == 1
+
+
+def watched(spark, tmp_path, box, existing=None, seconds=0.0):
+    """One look of a watch that is taken up again each time."""
+    done = []
+    W.start(W.observe(spark, [str(box)], shards=2), lambda batch, n: done.extend(r["path"] for r in batch.collect()), str(tmp_path / "state"), seconds, existing=existing, once=True).awaitTermination()
+    return sorted(p.rpartition("/")[2] for p in done)
+
+
+def test_watch_over_restarts(spark, tmp_path):
+    box = tmp_path / "box"
+    box.mkdir()
+    (box / "old").write_text("1")
+    before = W.present(spark, [str(box)], shards=2)
+    before = spark.createDataFrame(before.collect(), before.schema)
+    (box / "new").write_text("1")
+    assert watched(spark, tmp_path, box, before) == []
+    assert watched(spark, tmp_path, box) == ["new"]
+    assert watched(spark, tmp_path, box) == []
+    (box / "old").unlink()
+    (box / "new").write_text("changed")
+    assert watched(spark, tmp_path, box) == []
+    (box / "old").write_text("back again")
+    assert watched(spark, tmp_path, box) == []
+    assert watched(spark, tmp_path, box) == ["old"]
+    box.rename(tmp_path / "away")
+    assert watched(spark, tmp_path, box) == []
+    # What an offset holds does not grow with the folder.
+    last = max((tmp_path / "state/offsets").glob("[0-9]*"), key=lambda p: int(p.name)).read_text().splitlines()[-1]
+    assert len(last) < 60
