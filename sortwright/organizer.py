@@ -23,6 +23,7 @@ from .plans import questions as Q
 from .plans.journal import write_whole
 from .runtime import shared_root
 from .sources import extract, listing, stores
+from .sources.keyed import KeyedStore
 from .streaming import watch as W
 
 
@@ -42,6 +43,14 @@ class Organizer:
 
     # Tables
 
+    @property
+    def vectors(self) -> KeyedStore:
+        return KeyedStore(self.spark, f"{self.state}/vectors", stores.VECTOR)
+
+    @property
+    def verdicts(self) -> KeyedStore:
+        return KeyedStore(self.spark, f"{self.state}/verdicts", stores.VERDICT)
+
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Writes a stage down, so that a model's answers are asked for once."""
         path = f"{self.stages}/{name}-{uuid.uuid4().hex[:8]}"
@@ -68,14 +77,12 @@ class Organizer:
 
     def embed(self, rows: DataFrame) -> DataFrame:
         """Adds ``vec`` to rows with text; only texts not seen before reach the model."""
-        model, path = self.cfg.strategy.embed_model, f"{self.state}/vectors"
+        model = self.cfg.strategy.embed_model
         rows = rows.withColumn("_key", key_of(model, F.col("_text")))
-        held = stores.read_table(self.spark, path, stores.VECTOR)
-        missing = M.missing_texts(rows.select(F.col("_key").alias("key"), F.col("_text").alias("text")), held)
-        fresh = self.save(M.embed_column(missing, self.backend).select("key", "vec"), "vectors")
-        stores.append(fresh, path)
-        every = held.unionByName(fresh).select(F.col("key").alias("_key"), "vec") if held.columns else fresh
-        return rows.join(every.dropDuplicates(["_key"]), "_key", "left").drop("_key")
+        store = self.vectors
+        missing = M.missing_texts(rows.select(F.col("_key").alias("key"), F.col("_text").alias("text")), store.read())
+        store.put(self.save(M.embed_column(missing, self.backend).select("key", "vec"), "vectors"))
+        return store.lookup(rows, "_key").withColumn("vec", F.col("held.vec")).drop("_key", "held")
 
     def classify(self, entries: DataFrame) -> DataFrame:
         """Plan items of listed entries (path, name, kind, size, mtime, head, tail)."""
@@ -88,7 +95,7 @@ class Organizer:
         examples = self.examples()
         print_ = self.cfg.fingerprint(sorted(map(tuple, examples.select("name", "snippet", "category").collect())))
         rest = rest.withColumn("key", stores.verdict_key(print_, F.col("kind"), F.col("name"), F.col("text"), F.col("image")))
-        hits, misses = cascade.by_cache(rest, stores.read_table(self.spark, f"{self.state}/verdicts", stores.VERDICT).dropDuplicates(["key"]))
+        hits, misses = cascade.by_cache(rest, self.verdicts.read())
         misses = misses.withColumn("document", M.document_text(F.col("kind"), F.col("name"), F.col("text")))
         if s.mode != "llm":
             before, of_category = M.prefixes(self.cfg.strategy.embed_model)
@@ -107,7 +114,7 @@ class Organizer:
             bad = F.col("failed").isNotNull()
             error = {"category": F.lit(self.cfg.paths[0]), "confidence": F.lit(0.0), "via": F.lit("error"), "alternatives": F.array().cast("array<string>"), "reason": F.col("failed")}
             fresh = fresh.withColumns({c: F.when(bad, v).otherwise(F.col(c)) for c, v in error.items()})
-        stores.append(fresh.where("via <> 'error'").select("key", "category", "confidence", "alternatives", "reason"), f"{self.state}/verdicts")
+        self.verdicts.put(fresh.where("via <> 'error'").select("key", "category", "confidence", "alternatives", "reason"))
         items = cascade.finish(cascade.union([by_rule, hits, fresh]), self.cfg.paths[0], self.cfg.min_confidence)
         out = items.select(
             F.col("path").alias("src"), "name", "kind", "category", "confidence", "reason", "via", "alternatives", "review",

@@ -486,6 +486,27 @@ def cache_lookup(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("doc_id", (F.col("via") == "cache").alias("hit")).unionByName(misses.select("doc_id", F.lit(False).alias("hit")))
 
 
+@register(
+    "sc8_keyed_store",
+    """WITH rows AS (SELECT doc_id // 3 AS key, doc_id % 7 AS batch, doc_id, source, n_chars FROM documents),
+last AS (SELECT key, arg_max({'d': doc_id, 's': source, 'n': n_chars}, {'b': batch, 'd': doc_id}) AS r FROM rows GROUP BY key)
+SELECT l.doc_id, r.d AS held_id, r.s AS source, r.n AS n_chars FROM labels l LEFT JOIN last ON last.key = l.doc_id // 2""",
+)
+def keyed_store(spark: SparkSession, d: str) -> DataFrame:
+    """A store that documents are put into in seven rounds, three of them to a key, and that the labels look their documents up in."""
+    import uuid
+
+    from .runtime import shared_root
+    from .sources.keyed import KeyedStore
+
+    store = KeyedStore(spark, f"{shared_root(spark)}/store-{uuid.uuid4().hex}", "key string, doc_id long, source string, n_chars long", buckets=4, runs=3)
+    docs = table(spark, d, "documents").withColumn("key", F.floor(F.col("doc_id") / 3).cast("string"))
+    for batch in range(7):
+        store.put(docs.where(F.col("doc_id") % 7 == batch))
+    asked = table(spark, d, "labels").select("doc_id", F.floor(F.col("doc_id") / 2).cast("string").alias("_at"))
+    return store.lookup(asked, "_at").select("doc_id", F.col("held.doc_id").alias("held_id"), "held.source", "held.n_chars")
+
+
 @register("jn3_embed_missing", "SELECT md5(text) AS key FROM documents GROUP BY text HAVING count_if(doc_id % 3 = 0) = 0")
 def embed_missing(spark: SparkSession, d: str) -> DataFrame:
     from .models import missing_texts
