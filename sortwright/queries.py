@@ -393,6 +393,22 @@ def locality(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", names.locality_of(url).alias("place")).groupBy("page_id", "place").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("sc1_listed_tree", "SELECT DISTINCT 'lang=' || lang || '/source=' || source AS folder, 3 AS depth FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")
+def listed_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Folders in which files lie, of a tree written from the documents; what is hidden or deeper is not entered."""
+    import uuid
+
+    from .runtime import shared_root
+    from .sources import listing
+
+    at = f"{shared_root(spark)}/tree-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents").where("source is not null and lang is not null").select("doc_id", "lang", "source")
+    docs.write.partitionBy("lang", "source").parquet(f"{at}/home")
+    docs.withColumn("deep", F.lit(1)).write.partitionBy("lang", "source", "deep").parquet(f"{at}/home/.hidden")
+    files = listing.listed_tree(spark, f"{at}/home".removeprefix("file://"), ["_*"]).where("depth <= 3 and not hidden")
+    return files.select(F.regexp_replace("rel", "/[^/]*$", "").alias("folder"), "depth").distinct()
+
+
 @register("sc2_even_sample", "WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents) SELECT doc_id FROM o WHERE n <= 300 OR i IN (SELECT (s * n) // 300 FROM range(300) t(s))")
 def even_sample(spark: SparkSession, d: str) -> DataFrame:
     """The gather step's sample: its limit is the operator's own."""

@@ -11,6 +11,7 @@ from __future__ import annotations
 import fnmatch
 import json
 import os
+import sys
 import time
 import zlib
 from collections.abc import Iterator
@@ -18,11 +19,11 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, InputPartition, IsNotNull, LessThan, LessThanOrEqual, Not
 
 from ..runtime import by_value, ship
 
-ENTRY = "path string, name string, rel string, kind string, size long, mtime timestamp, head binary, tail binary"
+ENTRY = "path string, name string, rel string, kind string, size long, mtime timestamp, head binary, tail binary, depth int, hidden boolean"
 OBSERVATION = "root string, shard int, path string, name string, kind string, sig string, mtime timestamp, observed_at timestamp"
 #: Tasks, and keys of state, for each watched folder.
 SHARDS = 4
@@ -41,15 +42,20 @@ def level(root: str, ignore: list[str] = (), owned: set[str] | frozenset = froze
     return sorted(kept, key=lambda e: (e.is_dir(), e.name.lower()))
 
 
-def tree(root: str, depth: int, ignore: list[str]) -> Iterator[tuple[str, str]]:
-    """Visible files down to a depth, as path and relative path."""
-    for at, dirs, files in os.walk(root):
-        rel = os.path.relpath(at, root)
+def subfolders(at: str) -> list[str]:
+    with os.scandir(at) as found:
+        return sorted(e.path for e in found if e.is_dir(follow_symlinks=False))
+
+
+def tree(root: str, at: str, depth: int, hidden: bool, ignore: list[str], deep: bool = True) -> Iterator[tuple[str, str]]:
+    """Files from a folder of the root on, as path and relative path of at most ``depth`` parts; of that folder alone if not deep."""
+    for here, dirs, files in os.walk(at):
+        rel = os.path.relpath(here, root)
         parts = 0 if rel == "." else rel.count(os.sep) + 1
-        dirs[:] = sorted(d for d in dirs if not d.startswith(".") and parts + 1 < depth and not os.path.islink(os.path.join(at, d)))
-        for name in sorted(files):
-            path = os.path.join(at, name)
-            if not name.startswith(".") and not _ignored(name, ignore) and os.path.isfile(path) and not os.path.islink(path):
+        dirs[:] = sorted(d for d in dirs if deep and (hidden or not d.startswith(".")) and parts + 1 < depth and not os.path.islink(os.path.join(here, d)))
+        for name in sorted(files) if parts < depth else ():
+            path = os.path.join(here, name)
+            if (hidden or not name.startswith(".")) and not _ignored(name, ignore) and os.path.isfile(path) and not os.path.islink(path):
                 yield path, name if rel == "." else f"{rel}/{name}"
 
 
@@ -76,28 +82,73 @@ def _moment(seconds: float) -> datetime:
     return datetime.fromtimestamp(seconds, timezone.utc)
 
 
-class Root(InputPartition):
-    def __init__(self, root: str) -> None:
-        self.root = root
+class Part(InputPartition):
+    """A folder of a root: with all below it, or its own files alone."""
+
+    def __init__(self, root: str, at: str, deep: bool) -> None:
+        self.root, self.at, self.deep = root, at, deep
 
 
 class ListingReader(DataSourceReader):
+    """Reads one level of each root, or with the option tree all below, in about ``tasks`` parts.
+
+    Filters on depth, hidden and kind are taken over: a tree is not entered where they would drop what is found.
+    """
+
     def __init__(self, options: dict) -> None:
         self.roots = json.loads(options["roots"])
         self.ignore = json.loads(options.get("ignore", "[]"))
         self.owned = set(json.loads(options.get("owned", "[]")))
-        self.depth = int(options.get("depth", "1"))
+        self.tree = options.get("tree", "false") == "true"
+        self.tasks = int(options.get("tasks", "16"))
         self.folders = options.get("folders", "true") == "true"
-
-    def partitions(self) -> list[Root]:
-        return [Root(r) for r in self.roots]
-
-    def read(self, partition: Root) -> Iterator[tuple]:
-        if self.depth > 1:
-            found = [(p, rel, "file") for p, rel in tree(partition.root, self.depth, self.ignore)]
+        self.depth, self.hidden = sys.maxsize, True
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Gives back what it does not take over."""
+        for f in filters:
+            match f:
+                case LessThanOrEqual(("depth",), n):
+                    self.depth = min(self.depth, n)
+                case LessThan(("depth",), n):
+                    self.depth = min(self.depth, n - 1)
+                case EqualTo(("hidden",), False) | Not(EqualTo(("hidden",), True)):
+                    self.hidden = False
+                case EqualTo(("kind",), "file"):
+                    self.folders = False
+                case IsNotNull(("depth" | "hidden" | "kind" | "path" | "name" | "rel",)):
+                    pass
+                case _:
+                    yield f
+
+    def partitions(self) -> list[Part]:
+        if not self.tree:
+            return [Part(r, r, False) for r in self.roots]
+        done, open_ = [], [Part(r, r, True) for r in self.roots]
+        # Folders are opened level by level until there are parts enough; the driver looks into no more than that.
+        while open_ and len(done) + len(open_) < self.tasks:
+            inner = []
+            for p in open_:
+                below = [] if self._parts(p) + 1 >= self.depth else [d for d in subfolders(p.at) if self.hidden or not os.path.basename(d).startswith(".")]
+                done.append(Part(p.root, p.at, False))
+                inner += [Part(p.root, d, True) for d in below]
+            open_ = inner
+        return done + open_
+
+    @staticmethod
+    def _parts(p: Part) -> int:
+        rel = os.path.relpath(p.at, p.root)
+        return 0 if rel == "." else rel.count(os.sep) + 1
+
+    def read(self, partition: Part) -> Iterator[tuple]:
+        if self.tree:
+            found = ((p, rel, "file") for p, rel in tree(partition.root, partition.at, self.depth, self.hidden, self.ignore, partition.deep))
         else:
-            found = [(e.path, e.name, "folder" if e.is_dir() else "file") for e in level(partition.root, self.ignore, self.owned, self.folders)]
+            found = ((e.path, e.name, "folder" if e.is_dir() else "file") for e in level(partition.root, self.ignore, self.owned, self.folders))
         for path, rel, kind in found:
+            hidden = any(part.startswith(".") for part in rel.split("/"))
+            if (hidden and not self.hidden) or rel.count("/") >= self.depth:
+                continue
             try:
                 st = os.stat(path)
                 head = tail = None
@@ -109,7 +160,7 @@ class ListingReader(DataSourceReader):
                             tail = f.read(512)
             except OSError:
                 st, head, tail = None, None, None
-            yield path, os.path.basename(path), rel, kind, st.st_size if st else None, _moment(st.st_mtime) if st else None, head, tail
+            yield path, os.path.basename(path), rel, kind, st.st_size if st else None, _moment(st.st_mtime) if st else None, head, tail, rel.count("/") + 1, hidden
 
 
 class FolderListing(DataSource):
@@ -193,6 +244,7 @@ class FolderObservations(DataSource):
 def register(spark: SparkSession) -> None:
     ship(spark)
     by_value(__name__)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(FolderListing)
     spark.dataSource.register(FolderObservations)
 
@@ -204,10 +256,14 @@ def scan(spark: SparkSession, root: str, ignore: list[str] = (), owned: set[str]
     return rows.orderBy(F.col("kind") == "folder", F.lower("name"))
 
 
+def listed_tree(spark: SparkSession, root: str, ignore: list[str] = (), tasks: int = 16) -> DataFrame:
+    """All files below a folder, in several tasks; filters on depth and hidden keep it from being entered."""
+    register(spark)
+    return spark.read.format("folder_listing").options(roots=json.dumps([root]), ignore=json.dumps(list(ignore)), tree="true", tasks=str(tasks)).load()
+
+
 def gather(spark: SparkSession, root: str, ignore: list[str] = (), limit: int = 300, depth: int = 4) -> DataFrame:
     """Visible files of a tree, an even sample of at most limit by path."""
     from ..operators.rules import even_sample
 
-    register(spark)
-    rows = spark.read.format("folder_listing").options(roots=json.dumps([root]), ignore=json.dumps(list(ignore)), depth=str(depth)).load()
-    return even_sample(rows, "path", limit)
+    return even_sample(listed_tree(spark, root, ignore).where((F.col("depth") <= depth) & ~F.col("hidden")), "path", limit)

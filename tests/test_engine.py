@@ -323,3 +323,32 @@ def test_sides_are_not_cut(spark):
     held = spark.range(0, 1_200, 1, 8).select(F.col("id").cast("int").alias("ord"), F.concat(F.lit("^r"), "id", F.lit("$")).alias("regex"), F.lit("c").alias("category"), F.lit("move").alias("action"))
     found = rules.first_rule_join(spark.range(1_200).select(F.concat(F.lit("R"), "id").alias("name")), held)
     assert found.where("rule.ord = cast(substring(name, 2) as int)").count() == 1_200
+
+
+def test_server_errors(tmp_path):
+    """Refusals keep what the server said; connections that break are errors of the backend."""
+    import socket
+    import threading
+
+    def serve(*replies):
+        listener = socket.create_server(("127.0.0.1", 0))
+
+        def run():
+            for reply in replies:
+                c, _ = listener.accept()
+                c.recv(4096)
+                if reply:
+                    c.sendall(reply)
+                c.close()
+
+        threading.Thread(target=run, daemon=True).start()
+        return f"http://127.0.0.1:{listener.getsockname()[1]}/x"
+
+    with pytest.raises(M.BackendError, match="404.*no such model"):
+        M._post(serve(b"HTTP/1.1 404 Not Found\r\nContent-Length: 13\r\n\r\nno such model"), {}, 5)
+    for broken in (b"", b"HTTP/1.1 200 OK\r\nContent-Length: 50\r\n\r\n{}", b"nonsense\r\n\r\n", b"HTTP/1.1 200 OK\r\nContent-Length: 3\r\n\r\nabc"):
+        with pytest.raises(M.BackendError):
+            M._post(serve(broken), {}, 5)
+    with pytest.raises(M.BackendError):
+        M._post("http://127.0.0.1:1/x", {}, 5)
+    assert M.thinks("library/Phi4-Reasoning:plus") and M.thinks("my-qwen3-tune") and not M.thinks("phi4")

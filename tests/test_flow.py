@@ -6,6 +6,7 @@ import time
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from sortwright import config as C
 from sortwright import models as M
@@ -90,6 +91,25 @@ def test_gather(spark, tmp_path):
     assert sorted(r["rel"] for r in listing.gather(spark, str(tmp_path)).collect()) == ["a.txt", "x/b.txt", "x/y/z/c.txt"]
 
 
+def test_tree_in_parts(spark, tmp_path):
+    for i in range(6):
+        for rel in (f"f{i}/a.txt", f"f{i}/g/b.txt", f"f{i}/g/h/c.txt", f"f{i}/.no/d.txt", f"top{i}.txt", f"f{i}/x.part"):
+            (tmp_path / rel).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / rel).write_text("1")
+    (tmp_path / "link").symlink_to(tmp_path / "f1")
+    every = listing.listed_tree(spark, str(tmp_path), ["*.part"], tasks=8)
+    assert every.rdd.getNumPartitions() >= 8 and every.count() == 6 * 5 and every.select("path").distinct().count() == 30
+    some = every.where((F.col("depth") <= 3) & ~F.col("hidden"))
+    assert sorted({r["rel"] for r in some.collect()}) == sorted({x for i in range(6) for x in (f"f{i}/a.txt", f"f{i}/g/b.txt", f"top{i}.txt")})
+    assert {r["depth"] for r in every.where("hidden").collect()} == {3}
+    # Taken over by the reader: no filter is left above the scan.
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" not in plan.split("BatchScan")[0], plan
+    reader = listing.ListingReader({"roots": "[]", "tree": "true"})
+    assert list(reader.pushFilters([listing.LessThan(("depth",), 3), listing.EqualTo(("name",), "a"), listing.Not(listing.EqualTo(("hidden",), True))])) == [listing.EqualTo(("name",), "a")]
+    assert reader.depth == 2 and not reader.hidden
+
+
 def stream(spark, tmp_path, batches, seconds, existing=None):
     t0 = datetime(2024, 1, 1)
     (tmp_path / "obs").mkdir()
