@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from . import config as C
 from . import models as M
-from .functions.names import clean_path, locality
+from .functions.names import locality
 from .functions.vectors import key_of
-from .operators import cascade, cluster, rank, rules
+from .operators import cascade, cluster, naming, rank, rules
 from .plans import plan as P
 from .plans import questions as Q
 from .plans.journal import write_whole
@@ -248,28 +248,16 @@ class Organizer:
         rows = self.embed(files.withColumn("_text", F.concat(F.lit(before + "File: "), F.col("name"), F.lit("\n"), F.col("text"))))
         rows = self.save(rows.select("path", "name", "text", "vec"), "vectors")
         labelled = self.save(rows.join(cluster.over_split(rows, "path"), "path"), "clusters")
-        central = cluster.central(labelled, "path", limit).join(labelled.select("path", "name", "text"), "path").collect()
-        groups: dict[int, list] = {}
-        for r in sorted(central, key=lambda r: r["rank"]):
-            groups.setdefault(r["cluster"], []).append(r)
-        named, loose = [], [r["path"] for g in groups.values() if len(g) < 2 for r in g]
-        existing = [] if fresh else self.cfg.paths
-        for number, g in sorted(((n, g) for n, g in groups.items() if len(g) > 1), key=lambda x: (-len(x[1]), x[0])):
-            shown = "\n".join(f"- {r['name']}: {' '.join(r['text'].split())[:220]}" for r in g[:8])
-            known = "\n".join(f"- {c.path}: {c.description}" for c in self.cfg.categories) if existing else "(none yet)"
-            said = self.backend.generate(f"Name one folder for a group of similar files, an existing one if it fits.\nExisting:\n{known}", f"{len(g)} files. Typical ones:\n{shown}", M.naming_schema(existing))
-            fits = said.get("fits_existing", "none")
-            named.append((number, fits if fits in existing else said.get("path") or "", said.get("description") or f"Files like {g[0]['name']}", fits in existing, [r["path"] for r in g]))
-        if not named:
-            return [{"path": None, "members": loose, "existing": False, "description": "ungrouped"}] if loose else []
-        df = self.spark.createDataFrame(named, "cluster int, raw string, description string, existing boolean, members array<string>")
-        path = F.when(F.col("existing"), F.col("raw")).otherwise(F.coalesce(F.nullif(clean_path(F.col("raw")), F.lit("")), F.lit("Unsorted/Group")))
-        df = self.save(df.withColumn("path", path), "named")
-        about = {r["path"]: (r["description"], r["existing"]) for r in df.orderBy(F.desc("cluster")).collect()}
-        told = {c.path: c.description for c in self.cfg.categories}
-        merged = [r.asDict(True) for r in cluster.merge_named(df.select("cluster", "path", "members")).orderBy(F.desc("n_members"), "path").collect()]
-        out = [{"path": m["path"], "members": m["members"], "existing": about[m["path"]][1], "description": told.get(m["path"], about[m["path"]][0])} for m in merged if m["path"]]
-        loose += [p for m in merged if not m["path"] for p in m["members"]]
+        central = self.save(cluster.central(labelled, "path", limit).join(labelled.select("path", "name", "text"), "path"), "central")
+        taxonomy = self.taxonomy() if not fresh else self.taxonomy().limit(0)
+        groups = self.save(naming.named(central, taxonomy, self.backend), "named")
+        merged = cluster.merge_named(groups.select("cluster", "path", "members")).where("path is not null")
+        # Of groups with one path, the largest speaks for them.
+        first = groups.where("path is not null").groupBy("path").agg(F.min_by(F.struct("description", "existing"), F.struct(-F.col("n"), "cluster")).alias("a"))
+        found = merged.join(first, "path").select("path", "members", "a.*").orderBy(F.desc(F.size("members")), "path")
+        out = [{"path": r["path"], "members": r["members"], "existing": r["existing"], "description": r["description"]} for r in found.collect()]
+        kept = found.select(F.explode("members").alias("path"))
+        loose = [r["path"] for r in central.join(kept, "path", "left_anti").orderBy("cluster", "rank").collect()]
         return out + ([{"path": None, "members": loose, "existing": False, "description": "ungrouped"}] if loose else [])
 
     def accept(self, proposals: list[dict]) -> None:

@@ -623,6 +623,31 @@ def over_split(spark: SparkSession, d: str) -> DataFrame:
     return cluster.over_split(some, "vec_id")
 
 
+_SHORT = r"substr(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), 1, 220)"
+_FOUND = "CASE " + " ".join(f"WHEN contains(u, '{w}') THEN '{w}'" for w in WORDS) + " END"
+
+
+@register(
+    "md12_named_groups",
+    f"""WITH d AS (SELECT doc_id, coalesce(source, '-') || '/' || coalesce(lang, '-') || '/' || doc_id % 5 AS cluster, row_number() OVER (PARTITION BY source, lang, doc_id % 5 ORDER BY doc_id) AS rank, {_SHORT} AS t FROM documents),
+g AS (SELECT cluster, count(*) AS n, sum(doc_id)::BIGINT AS id_sum, min(doc_id) AS first, lower(count(*) || ' files. Typical ones:' || chr(10) || string_agg('- doc ' || doc_id || ': ' || t, chr(10) ORDER BY rank) FILTER (rank <= 8)) AS u FROM d GROUP BY cluster HAVING count(*) >= 2)
+SELECT cluster, n::INT AS n, id_sum, coalesce('Found/' || upper({_FOUND}[1:1]) || {_FOUND}[2:], 'Unsorted/Group') AS path, CASE WHEN {_FOUND} = 'the' THEN 'what is known' ELSE 'Files like ' || first END AS description FROM g""",
+)
+def named_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of documents named by the first known word that stands in what is shown of them."""
+    from .models import WordBag
+    from .operators import naming
+
+    docs = table(spark, d, "documents")
+    cluster_ = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id") % 5)
+    rank_ = F.row_number().over(Window.partitionBy("source", "lang", F.col("doc_id") % 5).orderBy("doc_id"))
+    members = docs.select(cluster_.alias("cluster"), rank_.alias("rank"), F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("doc "), "doc_id").alias("name"), "text")
+    taxonomy = spark.createDataFrame([(0, "Found/The", "what is known")], "ord int, category string, description string")
+    found = naming.named(members, taxonomy, WordBag(WORDS))
+    total = F.aggregate("members", F.lit(0).cast("long"), lambda a, m: a + m.cast("long"))
+    return found.select("cluster", "n", total.alias("id_sum"), "path", "description")
+
+
 # Streams
 
 

@@ -84,6 +84,35 @@ def test_discover(spark, tmp_path):
     assert "Found/Garden" in o.cfg.paths and o.examples().count() >= 3
 
 
+class Moody(M.WordBag):
+    """Fits one group into what exists, is too slow for another, says nothing of a third, and once needs a second try."""
+
+    def generate(self, system, user, schema):
+        if "slow" in user:
+            raise M.ModelTimeout("30 s")
+        if "mute" in user:
+            return {}
+        if "once" in user and not getattr(Moody, "tried", False):
+            Moody.tried = True
+            raise M.ModelTimeout("30 s")
+        return {"fits_existing": "Money/Tax" if "tax" in user and "Money/Tax" in system else "none", "path": "new things/of mine/too deep", "description": "d" if "once" in user else ""}
+
+
+def test_named_groups(spark):
+    from sortwright.operators import naming
+
+    rows = [(c, i, f"/in/{w}{i}", f"{w}{i}", w if i else None) for c, w in enumerate(["tax", "slow", "mute", "once", "other", "alone"]) for i in range(1 if w == "alone" else 10)]
+    members = spark.createDataFrame(rows, "cluster int, rank int, path string, name string, text string")
+    taxonomy = spark.createDataFrame([(0, "Money/Tax", "taxes"), (1, "Fun/Trips", "trips")], "ord int, category string, description string")
+    found = {r["cluster"]: r for r in naming.named(members, taxonomy, Moody(("x",))).collect()}
+    assert set(found) == set(range(5)) and found[0]["n"] == 10 and found[0]["members"][0] == "/in/tax0"
+    assert (found[0]["path"], found[0]["description"], found[0]["existing"]) == ("Money/Tax", "taxes", True)
+    assert found[1]["path"] is None and "too long" in found[1]["failed"] and found[2]["path"] is None and "read" in found[2]["failed"]
+    assert (found[3]["path"], found[3]["description"]) == ("New Things/Of Mine", "d") and found[4]["description"] == "Files like other0"
+    none = naming.named(members.where("cluster = 0"), taxonomy.limit(0), Moody(("x",))).first()
+    assert none["path"] == "New Things/Of Mine" and not none["existing"]
+
+
 def test_gather(spark, tmp_path):
     for rel in ("a.txt", "x/b.txt", "x/y/z/c.txt", "x/y/z/w/deep.txt", ".h/no.txt", "x/.no"):
         (tmp_path / rel).parent.mkdir(parents=True, exist_ok=True)
