@@ -35,6 +35,8 @@ class Organizer:
     state: str
     config_path: str | None = None
     stages: str = field(default="")
+    #: How the items of the last plan were come by: counts by way, and of all.
+    via: dict[str, int] = field(default_factory=dict)
     notify: Callable[[str], None] | None = None
 
     def __post_init__(self) -> None:
@@ -120,7 +122,10 @@ class Organizer:
             F.col("path").alias("src"), "name", "kind", "category", "confidence", "reason", "via", "alternatives", "review",
             F.substring(F.coalesce("text", F.lit("")), 1, 400).alias("snippet"), F.coalesce("about", F.lit("")).alias("about"),
         )
-        return self.save(out, "items")
+        counted, seen = P.counted(out)
+        items = self.save(counted, "items")
+        self.via = {k: n for k, n in seen.get.items() if n}
+        return items
 
     def plan(self, source: str) -> DataFrame:
         """One row per entry of a folder, in its order, with the target each would go to."""

@@ -240,6 +240,17 @@ def free_name(spark: SparkSession, d: str) -> DataFrame:
     return plan.free_names(rows, "folder", "name", "doc_id", taken).select("doc_id", "free_name")
 
 
+@register("ag1_counted_pass", f"WITH {_VERDICT}, b AS (SELECT CASE WHEN vec_id % 4 = 0 THEN 'cache' WHEN vec_id % 9 = 0 THEN NULL ELSE 'embed' END AS via FROM items) SELECT coalesce(via, 'other') AS via, count(*) AS n FROM b GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM b")
+def counted_pass(spark: SparkSession, d: str) -> DataFrame:
+    """Counts that come with the pass that writes the plan."""
+    from .runtime import staged
+
+    via = F.when(F.col("vec_id") % 4 == 0, "cache").when(F.col("vec_id") % 9 != 0, F.col("via"))
+    rows, seen = plan.counted(decided(spark, d).withColumn("via", via))
+    staged(rows, "plan")
+    return spark.createDataFrame([(k, n) for k, n in seen.get.items() if n], "via string, n long")
+
+
 _NUMBERED = "source || CASE WHEN doc_id % 4 = 1 THEN ' (' || (doc_id % 13) || ')' WHEN doc_id % 16 = 2 THEN ' (2) (' || (doc_id % 5) || ')' ELSE '' END"
 
 

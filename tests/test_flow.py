@@ -48,7 +48,9 @@ def test_plan_apply_ask_undo(spark, tmp_path, inbox):
     assert by["invoice 7.pdf"]["category"] == "Money/Bills" and by["invoice 7.pdf"]["via"] == "rule"
     assert (by["refund.txt"]["category"], by["refund.txt"]["via"], by["refund.txt"]["confidence"]) == ("Money/Tax", "embed", 0.9)
     assert by["trip photos"]["category"] == "Fun/Trips" and by["both.txt"]["via"] == "llm"
+    assert o.via == {"rule": 1, "skip": 1, "embed": 2, "llm": 1, "all": 5}
     again = {r["name"]: r["via"] for r in o.plan(str(inbox)).collect()}
+    assert o.via == {"rule": 1, "skip": 1, "cache": 3, "all": 5}
     assert again["refund.txt"] == again["both.txt"] == "cache"
     with pytest.raises(PermissionError):
         o.apply(o.plan(str(inbox)))
