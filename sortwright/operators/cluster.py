@@ -11,11 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, doubles, let, mean_vectors, unit
-from ..runtime import ship
+from ..runtime import ship, staged
+from .rules import numbered
 
 #: Rows that one clustering run holds; the gather step samples down to 300.
 MAX_ROWS = 2_000
@@ -102,6 +103,71 @@ def lloyd(vectors: np.ndarray, k: int, seed: int, steps: int = 20) -> list[int]:
     return labels.tolist()
 
 
+def _sides(vectors: dict[int, list[float]]) -> DataFrame:
+    spark = SparkSession.active()
+    return spark.createDataFrame(sorted(vectors.items()), "cluster int, vec array<double>")
+
+
+def _spread(rows: DataFrame, n: int, k: int, seed: int, span: int) -> list[int]:
+    """Positions of the seeds that ``lloyd`` takes: the first anywhere, each next one with a chance by its squared distance to the nearest."""
+    rng = random.Random(seed)
+    vec_at = lambda p: list(rows.where(F.col("_pos") == p).first()["_unit"])
+    chosen = [rng.randrange(n)]
+    held = {0: vec_at(chosen[0])}
+    while len(chosen) < k:
+        score = assign(rows.select("_pos", F.col("_unit").alias("vec")), _sides(held)).select("_pos", "score")
+        taken = F.col("_pos").isin(chosen)
+        gaps = score.select("_pos", F.when(taken, F.lit(0.0)).otherwise(F.pow(1 - F.col("score"), F.lit(2))).alias("gap"))
+        totals = gaps.groupBy(F.floor(F.col("_pos") / span).alias("s")).agg(F.sum("gap").alias("gap")).orderBy("s").collect()  # one row for each span
+        aim, below, reached = rng.random() * (sum(r["gap"] for r in totals) or 1.0), 0.0, None
+        for r in totals:
+            if below + r["gap"] >= aim:
+                inside = gaps.where(F.floor(F.col("_pos") / span) == r["s"])
+                run = F.lit(below) + F.sum("gap").over(Window.partitionBy(F.floor(F.col("_pos") / span)).orderBy("_pos"))
+                reached = inside.withColumn("run", run).where((F.col("run") >= aim) & ~taken).agg(F.min("_pos")).first()[0]
+                if reached is not None:
+                    break
+            below += r["gap"]
+        free = reached if reached is not None else rows.where(~taken).agg(F.min("_pos")).first()[0]
+        held[len(chosen)] = vec_at(free)
+        chosen.append(free)
+    return chosen
+
+
+def k_medoids(rows: DataFrame, key: str, k: int, vec: str = "vec", seed: int = 0, start: list | None = None, steps: int = 20, span: int = 1 << 16) -> DataFrame:
+    """key and cluster (0 to k - 1) of all rows: seeds spread as ``lloyd`` does, or the keys of ``start``; then rounds of assigning
+    and moving each medoid to the member closest to all of its cluster, until none moves or after ``steps`` rounds.
+
+    Each round is two passes over the rows, which are written down once with unit vectors; a round's labels are written too, so lineage
+    stays short. k vectors and, while seeding, a sum for each span of positions come to the driver; no matrix of pairs, no sample.
+
+    Defined cases: keys are distinct; fewer rows than k give as many clusters as rows; a zero vector is at distance one from all;
+    an empty table gives an empty result.
+    """
+    plain = rows.select(F.col(key).alias("_key"), unit(doubles(F.col(vec))).alias("_unit"))
+    own = staged(numbered(plain, "_key", "_pos"), "units")
+    n = own.count()
+    k = min(k, n)
+    if not n:
+        return rows.select(key, F.lit(0).alias("cluster")).limit(0)
+    if start is None:
+        at = _spread(own, n, k, seed, span)
+    else:
+        places = {r["_key"]: r["_pos"] for r in own.where(F.col("_key").isin(start)).select("_key", "_pos").collect()}
+        at = [places[s] for s in start]
+    labelled = None
+    for _ in range(max(1, steps)):
+        held = {r["_pos"]: list(r["_unit"]) for r in own.where(F.col("_pos").isin(at)).select("_pos", "_unit").collect()}
+        labelled = staged(assign(own.withColumnRenamed("_unit", "vec"), _sides({j: held[p] for j, p in enumerate(at)})).drop("score"), "labels")
+        moved = list(at)
+        for r in medoids(labelled, "_pos").collect():  # one row for each cluster
+            moved[r["cluster"]] = r["_pos"]
+        if moved == at:
+            break
+        at = moved
+    return labelled.select(F.col("_key").alias(key), "cluster")
+
+
 def quality(labels: list[int], vectors: np.ndarray) -> float:
     total = 0.0
     for j in set(labels):

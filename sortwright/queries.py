@@ -592,6 +592,22 @@ def medoid_assign(spark: SparkSession, d: str) -> DataFrame:
     return cluster.assign(rows.select("vec_id", "vec"), held).select("vec_id", "cluster", F.round("score", 6).alias("score"))
 
 
+def _rounds(n: int) -> str:
+    """The rounds of k-medoids, one after another."""
+    parts = ["m0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cluster, vec_id FROM u WHERE vec_id IN (3, 40, 77, 101, 230))"]
+    for i in range(n):
+        parts.append(f"l{i} AS (SELECT u.vec_id, m.cluster, u.e FROM u, m{i} m JOIN u c ON c.vec_id = m.vec_id QUALIFY row_number() OVER (PARTITION BY u.vec_id ORDER BY list_dot_product(u.e, c.e) DESC, m.cluster) = 1)")
+        parts.append(f"s{i} AS (SELECT cluster, list(x ORDER BY pos) AS s FROM (SELECT cluster, pos, sum(x) AS x FROM (SELECT cluster, unnest(e) AS x, unnest(range(len(e))) AS pos FROM l{i}) GROUP BY ALL) GROUP BY cluster)")
+        parts.append(f"m{i + 1} AS (SELECT cluster, vec_id FROM l{i} JOIN s{i} USING (cluster) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY round(list_dot_product(e, s), 9) DESC, vec_id) = 1)")
+    return f"WITH {_V}, u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v), {', '.join(parts)} SELECT vec_id, cluster::INT AS cluster FROM l{n - 1}"
+
+
+@register("md10_k_medoids", _rounds(4))
+def k_medoids(spark: SparkSession, d: str) -> DataFrame:
+    """All rows in five clusters, four rounds from given seeds."""
+    return cluster.k_medoids(vectors(spark, d), "vec_id", 5, start=[3, 40, 77, 101, 230], steps=4)
+
+
 @register("ag7_cluster_objective", f"WITH {_TOTALS} SELECT round(sum(total), 5) AS objective FROM medoids")
 def cluster_objective(spark: SparkSession, d: str) -> DataFrame:
     return cluster.objective(clustered(spark, d), "vec_id").select(F.round("objective", 5).alias("objective"))
