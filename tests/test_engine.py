@@ -352,3 +352,67 @@ def test_server_errors(tmp_path):
     with pytest.raises(M.BackendError):
         M._post("http://127.0.0.1:1/x", {}, 5)
     assert M.thinks("library/Phi4-Reasoning:plus") and M.thinks("my-qwen3-tune") and not M.thinks("phi4")
+
+
+class Stream(dict):
+    """A picture or page of a PDF as its reader gives it."""
+
+    def get_object(self):
+        return self
+
+    @property
+    def _data(self):
+        return self["data"]
+
+    def get_data(self):
+        return self["data"]
+
+
+def test_pdf_pictures():
+    from sortwright.sources import pdf
+
+    def page(**streams):
+        return {"/Resources": {"/XObject": streams}}
+
+    def picture(width, height, data, filters, space="/DeviceRGB", **more):
+        return Stream({"/Subtype": "/Image", "/Width": width, "/Height": height, "data": data, "/Filter": filters, "/ColorSpace": space, **more})
+
+    jpeg = picture(90, 90, b"jpeg", "/DCTDecode")
+    assert list(pdf._drawn(page(a=picture(2, 2, bytes(12), "/FlateDecode"), b=jpeg, c=Stream({"/Subtype": "/Form"})))) == [b"jpeg"]
+    assert list(pdf._drawn(page(b=picture(9, 9, b"deep", ["/FlateDecode", "/DCTDecode"])))) == [b"deep"]
+    grey = next(pdf._drawn(page(a=picture(2, 3, bytes(range(6)), ["/FlateDecode"], "/DeviceGray"))))
+    assert X.image_size(grey, "png") == (2, 3) and zlib.decompress(grey[grey.index(b"IDAT") + 4 : -16]) == b"\0\0\1\0\2\3\0\4\5"
+    for odd in (picture(2, 2, bytes(11), "/FlateDecode"), picture(2, 2, bytes(12), "/FlateDecode", "/Indexed"), picture(2, 2, bytes(12), "/FlateDecode", **{"/BitsPerComponent": 1}), picture(2, 2, b"", "/JBIG2Decode")):
+        assert list(pdf._drawn(page(a=odd))) == []
+    assert list(pdf._drawn({})) == []
+
+
+def test_pdf_pages(monkeypatch):
+    from sortwright.sources import pdf
+
+    long = "words of a page " * 5
+    read = lambda **k: monkeypatch.setattr(pdf, "READERS", {"none": lambda f: None, "one": lambda f: pdf.Pages(**k)})
+    blob = X.Blob("a.pdf", b"%PDF")
+    read(text=long, title="A title", number=1)
+    assert (X.pdf(blob, True).text, X.pdf(blob, True).kind) == (f"Title: A title\n{long}", "PDF, 1 page")
+    read(text=long, title="WORDS of", number=2)
+    assert (X.pdf(blob, True).text, X.pdf(blob, True).kind) == (long, "PDF, 2 pages")
+    read(locked=True)
+    assert X.pdf(blob, True).kind == "password-protected PDF" and not X.pdf(blob, True).readable
+    read(text="short", number=4, pictures=iter([b"one", b"two"]))
+    scan = X.pdf(blob, True)
+    assert scan.kind == "scanned PDF without a text layer, 4 pages" and scan.image == b"one" and scan.readable and scan.has_picture
+    read(text="short", pictures=iter([b"one"]))
+    assert X.pdf(blob, False).image is None and not X.pdf(blob, False).readable and X.pdf(blob, False).kind.endswith("layer, PDF")
+    monkeypatch.setattr(pdf, "READERS", {})
+    assert X.pdf(blob, False).kind == "scanned PDF without a text layer, PDF"
+
+
+def test_tags_of_audio():
+    seven = lambda n: bytes((n >> s) & 127 for s in (21, 14, 7, 0))
+    frame = lambda name, code, raw: name + seven(len(raw) + 1) + b"\0\0" + bytes([code]) + raw
+    body = frame(b"TIT2", 1, "Größe".encode("utf-16")) + frame(b"XXXX", 3, b"skip") + frame(b"TPE1", 3, "Bänd".encode()) + frame(b"TPE1", 3, b"second") + frame(b"TDRC", 9, b"1999\0") + frame(b"TALB", 2, "Álbum".encode("utf-16-be")) + frame(b"TCON", 0, b"\0")
+    head = b"ID3\x04\0\0" + seven(len(body) + 20)
+    assert X.Id3(head + body + bytes(20)).texts() == {"Title": "Größe", "Artist": "Bänd", "Year": "1999", "Album": "Álbum"}
+    assert X.Id3(head + body[:30]).texts() == {"Title": "Größe"} or X.Id3(head + body[:30]).texts() != {}
+    assert X.audio(X.Blob("a.mp3", b"ID3")).text == "" and not X.audio(X.Blob("a.mp3", b"\xff\xfb")).readable
