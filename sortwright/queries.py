@@ -16,6 +16,7 @@ from .functions import names, sniff, text
 from .functions.vectors import cosine, doubles, key_of, mean_vectors
 from .operators import cascade, cluster, metrics, rank, rules
 from .plans import plan, questions
+from .sources import folders
 from .streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -761,7 +762,27 @@ def route(spark: SparkSession, d: str) -> DataFrame:
 
 @register("ag10_folder_signature", "SELECT l_orderkey AS folder, count(*) AS n, sum(l_linenumber)::BIGINT AS total, epoch_us(max(l_shipdate)) AS newest FROM lineitem GROUP BY l_orderkey")
 def folder_signature(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("folder")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").alias("total"), F.max(F.unix_micros(F.col("l_shipdate").cast("timestamp"))).alias("newest"))
+    files = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("folder"), F.col("l_partkey").alias("rel"), F.col("l_linenumber").alias("size"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("mtime"))
+    return folders.signatures(files, ["rel", "mtime", "size"])
+
+
+@register(
+    "ex19_folder_texts",
+    r"""WITH f AS (SELECT source AS folder, CASE doc_id % 3 WHEN 0 THEN 'md' WHEN 1 THEN 'TXT' ELSE lang END AS ext, printf('%07d', doc_id) || '.' || ext AS name, doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY name) AS place FROM f QUALIFY place <= 121),
+k AS (SELECT folder, '.' || lower(ext) AS ext, count(*) AS n, min(place) AS first FROM p GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY n DESC, first) AS rank FROM k),
+m AS (SELECT folder, string_agg(ext || '×' || n, ', ' ORDER BY rank) AS mixture FROM r WHERE rank <= 8 GROUP BY folder),
+w AS (SELECT folder, count(*) AS n, string_agg(name, ', ' ORDER BY place) FILTER (place <= 15) AS names, min_by('From ' || name || ': ' || substr(t, 1, 400), place) FILTER (place <= 20 AND t <> '' AND doc_id % 4 <> 0) AS excerpt FROM p GROUP BY folder)
+SELECT w.folder, sha256(CASE WHEN n > 120 THEN 'over 120' ELSE n || '' END || ' files: ' || mixture || chr(10) || 'Names: ' || names || coalesce(chr(10) || excerpt, '')) AS sha256 FROM w JOIN m ON w.folder IS NOT DISTINCT FROM m.folder""",
+)
+def folder_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Sources are folders; of each at most 120 files are looked at, and every fourth cannot be read."""
+    docs = table(spark, d, "documents")
+    kind = F.when(F.col("doc_id") % 3 == 0, "md").when(F.col("doc_id") % 3 == 1, "TXT").otherwise(F.col("lang"))
+    name = F.concat(F.format_string("%07d", "doc_id"), F.lit("."), kind)
+    files = docs.select(F.col("source").alias("folder"), name.alias("name"), name.alias("rel"), "doc_id", "text")
+    return folders.folder_texts(files, readable=F.col("doc_id") % 4 != 0, many=120).select("folder", F.sha2("text", 256).alias("sha256"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
