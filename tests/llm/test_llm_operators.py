@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -595,6 +596,29 @@ def test_single_lines(spark):
     assert found == {None: [], 1: [1], 2: [1], 4: [], 5: [0], 7: [], 8: []}
 
 
+def runs(rng, lines, n, most):
+    return [x for _ in range(n) for x in [rng.choice(lines)] * rng.randint(1, most)]
+
+
+@pytest.mark.parametrize(("seed", "gram", "span"), [(1, 2, 3), (2, 2, 3), (3, 1, 1), (4, 3, 2), (5, 2, 3)])
+def test_runs_of_equal_lines(spark, seed, gram, span):
+    rng = random.Random(seed)
+    lines = ["a", "b", "-----", "h" * 120, "k " * 90, *[f"other {i}" for i in range(4)]]
+    rows = [(i, "\n".join(runs(rng, lines[: rng.choice([1, 2, 5, 9])], rng.randint(1, 6), rng.choice([3, 9, 25]))), "s") for i in range(70)]
+    rows += [(200, "x\n" + "a\n" * 30 + "y", "s"), (201, "z\n" + "a\n" * 77 + "y\nend", "s"), (202, "\n".join(["a"] * 30 + ["q"] + ["a"] * 30 + ["y"]), "s"), (203, "a\nb\n" * 20, "s")]
+    found = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["removed"]) for r in winnow.repeated_lines(frame(spark, rows), gram=gram, span=span).collect()}
+    want = lines_by_force(rows, gram=gram, span=span)
+    assert {i: found[i] for i in want if found[i] != want[i]} == {}
+
+
+def test_a_long_run_is_no_square(spark):
+    rows = [(1, "again\n" * 40_000, "s"), (2, "before\n" + "again\n" * 30_000 + "after", "s"), (3, "again\n" * 3, "s")]
+    began = time.time()
+    found = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in winnow.repeated_lines(frame(spark, rows)).select("doc_id", "n_lines", "n_removed").collect()}
+    assert found == {1: (40_000, 39_999), 2: (30_002, 30_000), 3: (3, 3)}
+    assert time.time() - began < 120
+
+
 # Secrets
 
 
