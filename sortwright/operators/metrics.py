@@ -43,3 +43,19 @@ def leave_one_out(rows: DataFrame, key: str, label: str, k: int) -> DataFrame:
 def latency(embed_seconds: Column, escalated: Column, n: Column, model_seconds: Column) -> Column:
     """Seconds a file when only the escalated share pays for the model."""
     return embed_seconds + escalated / n * model_seconds
+
+
+def worst_of_one_taught(rows: DataFrame) -> DataFrame:
+    """worst_accuracy: the lowest accuracy over all categories when the examples of one category alone are taught.
+
+    rows: truth, ranked (without examples) and boosted (with all). A category's examples change its own score alone, so its run takes
+    the boosted score there and the plain ones elsewhere: all runs come from one pass, and only a count for each category moves.
+    Ties go to the lower number of a category.
+    """
+    def first(t: Column) -> Column:
+        scored = F.transform("ranked", lambda r: F.struct((-F.when(r["category"] == t["category"], t["score"]).otherwise(r["score"])).alias("minus"), r["category"].cast("int").alias("category")))
+        return F.array_min(scored)["category"]
+
+    runs = rows.select("truth", F.explode(F.transform("boosted", lambda t: F.struct(t["category"].alias("taught"), first(t).alias("category")))).alias("r"))
+    accuracy = runs.groupBy("r.taught").agg((F.count_if(F.col("truth") == F.col("r.category")) / F.count(F.lit(1))).alias("a"))
+    return accuracy.agg(F.min("a").alias("worst_accuracy"))

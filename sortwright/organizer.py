@@ -64,10 +64,8 @@ class Organizer:
 
     def examples(self) -> DataFrame:
         """Examples of live categories, read anew each time, numbered in order."""
-        path = Path(self.state) / "examples.jsonl"
-        rows = [json.loads(x) for x in path.read_text(encoding="utf-8").splitlines() if x.strip()] if path.exists() else []
-        live = [(i, r["name"], r["snippet"], r["category"]) for i, r in enumerate(rows) if r["category"] in self.cfg.paths]
-        return self.spark.createDataFrame(live, "seq int, name string, snippet string, category string")
+        rows = stores.read_json(self.spark, f"{self.state}/examples.jsonl", stores.EXAMPLE).withColumn("seq", F.monotonically_increasing_id())
+        return stores.live(rows, self.taxonomy()).select("seq", "name", "snippet", "category")
 
     def queue(self) -> DataFrame:
         return stores.read_json(self.spark, f"{self.state}/questions.jsonl", stores.QUESTION)

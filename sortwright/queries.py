@@ -188,11 +188,7 @@ def teach_one_worst(spark: SparkSession, d: str) -> DataFrame:
     """The lowest accuracy when the examples of one category alone are taught: all runs in one pass over the rows."""
     plain = ranking(spark, d).select("vec_id", "truth", "ranked")
     taught = ranking(spark, d, examples=True).select("vec_id", F.col("ranked").alias("boosted"))
-    rows = plain.join(taught, "vec_id")
-    one = F.transform("boosted", lambda t: F.struct(t["category"].alias("taught"), F.array_min(F.transform("ranked", lambda r: F.struct(
-        (-F.when(r["category"] == t["category"], t["score"]).otherwise(r["score"])).alias("minus"), r["category"].cast("int").alias("category"))))["category"].alias("category")))
-    runs = rows.select("truth", F.explode(one).alias("r")).groupBy("r.taught").agg((F.count_if(F.col("truth") == F.col("r.category")) / F.count(F.lit(1))).alias("a"))
-    return runs.agg(F.min("a").alias("worst_accuracy"))
+    return metrics.worst_of_one_taught(plain.join(taught, "vec_id"))
 
 
 @register("ag15_leave_one_out", "SELECT a.vec_id, b.vec_id AS example FROM embeddings a JOIN (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings) b ON a.label = b.label AND a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY b.vec_id) <= 2")
@@ -378,8 +374,8 @@ def owned_anti_join(spark: SparkSession, d: str) -> DataFrame:
 
 @register("ag4_ext_histogram", "SELECT ext, n FROM (SELECT coalesce(nullif(lower(regexp_extract(p_name || '.' || lower(p_type), '^.*[^./](\\.[^./]+)$', 1)), ''), '(none)') AS ext, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1) ORDER BY n DESC, first LIMIT 8")
 def ext_histogram(spark: SparkSession, d: str) -> DataFrame:
-    n = files(spark, d).groupBy(names.extension_key(F.col("name")).alias("ext")).agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first"))
-    return n.orderBy(F.desc("n"), "first").limit(8).select("ext", "n")
+    held = files(spark, d).select(F.lit("parts").alias("folder"), "name", F.col("p_partkey").alias("_place"))
+    return folders.histogram(held).select("ext", "n")
 
 
 _RAW = "'  ' || p_type || '\\' || p_name || '!/' || p_brand || '//x'"

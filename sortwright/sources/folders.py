@@ -38,12 +38,16 @@ def signatures(files: DataFrame, order: list[str], many: int = SIGNED) -> DataFr
     return _first(files, many + 1, order).groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.max("mtime").alias("newest"))
 
 
-def mixtures(files: DataFrame, most: int = KINDS) -> DataFrame:
-    """folder and mixture: its most frequent extensions with their numbers, first seen first on ties. files: folder, name, _place."""
+def histogram(files: DataFrame, most: int = KINDS) -> DataFrame:
+    """folder, ext, n and rank of its most frequent extensions, first seen (by ``_place``) first on ties. Only counts are ranked."""
     kinds = files.groupBy("folder", extension_key(F.col("name")).alias("ext")).agg(F.count(F.lit(1)).alias("n"), F.min("_place").alias("first"))
-    ranked = kinds.withColumn("_rank", F.row_number().over(Window.partitionBy("folder").orderBy(F.desc("n"), "first"))).where(F.col("_rank") <= most)
-    shown = F.array_sort(F.collect_list(F.struct("_rank", F.concat("ext", F.lit("×"), F.col("n").cast("string")).alias("said"))))
-    return ranked.groupBy("folder").agg(F.array_join(F.transform(shown, lambda x: x["said"]), ", ").alias("mixture"))
+    return kinds.withColumn("rank", F.row_number().over(Window.partitionBy("folder").orderBy(F.desc("n"), "first"))).where(F.col("rank") <= most).drop("first")
+
+
+def mixtures(files: DataFrame, most: int = KINDS) -> DataFrame:
+    """folder and mixture: its most frequent extensions with their numbers. files: folder, name, _place."""
+    shown = F.array_sort(F.collect_list(F.struct("rank", F.concat("ext", F.lit("×"), F.col("n").cast("string")).alias("said"))))
+    return histogram(files, most).groupBy("folder").agg(F.array_join(F.transform(shown, lambda x: x["said"]), ", ").alias("mixture"))
 
 
 def folder_texts(files: DataFrame, order: str = "rel", text: str = "text", readable: Column | None = None, many: int = LOOKED_AT) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Tables that outlive a run: examples, vectors, verdicts and the question queue, as JSON lines or Parquet."""
+"""Tables that outlive a run: examples and the question queue as JSON lines, and the schemas of what ``keyed`` holds."""
 
 from __future__ import annotations
 
@@ -24,15 +24,6 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], schema)
-        raise
-
-
 def add_example(path: str | Path, name: str, snippet: str, category: str, taxonomy: list[str]) -> None:
     if category not in taxonomy:
         raise ValueError(f"no category {category!r}")
@@ -48,12 +39,3 @@ def verdict_key(fingerprint: str, kind: Column, name: Column, text: Column, imag
     """A key of all that a verdict depends on; the fingerprint covers settings and examples."""
     picture = F.coalesce(F.sha2(image, 256), F.lit("")) if image is not None else F.lit("")
     return F.substring(F.sha2(F.concat_ws("\0", F.lit(fingerprint), kind, name, text, picture), 256), 1, 24)
-
-
-def lookup(rows: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with a cached verdict, and those without."""
-    return rows.join(cache, "key"), rows.join(cache.select("key"), "key", "left_anti")
-
-
-def append(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
