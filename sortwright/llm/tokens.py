@@ -5,7 +5,7 @@ after another. Pieces of plain characters are cut here by the vocabulary's own p
 a memo bounded in bytes; those not in it are encoded by the tokenizers library, many at a time, and cut
 apart again at the word-end ids. Any word with other characters (combining marks, rare
 letters, special tokens) goes through the library whole. One tokenizer is held; it works on
-slices of about a megabyte of text, so memory follows the slice or the longest text.
+slices of about two megabytes of text, so memory follows the slice or the longest text.
 """
 
 from __future__ import annotations
@@ -31,11 +31,12 @@ _ODD = re.compile("[^\t-\r " + "".join(re.escape(c) for c in _plain) + "]|<\\|")
 #: Stands for the end of a word among its ids.
 _MARK = np.array(0xFFFFFFFF, "<u4")
 #: What the memo of a worker may hold.
-MEMO_BYTES = 48 << 20
+MEMO_BYTES = 96 << 20
 
 
 class Encoder:
-    """One per Python worker; see ``encoder``. The memo of pieces is emptied when it holds ``memo`` bytes."""
+    """One per Python worker; see ``encoder``. The memo of pieces holds ``memo`` bytes in two halves: a full one becomes the old
+    one, and what is asked for again moves from there, so frequent pieces stay."""
 
     def __init__(self, path: str, memo: int = MEMO_BYTES) -> None:
         self.own = Tokenizer.from_file(path)
@@ -46,6 +47,7 @@ class Encoder:
         self.plain = (normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]))
         self.usual = (self.own.normalizer, self.own.pre_tokenizer)
         self.pieces: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.room, self.used = memo, 0
 
     def _whole(self, text: str) -> bytes:
@@ -65,14 +67,16 @@ class Encoder:
             for p, end in zip(part, cut.tolist()):
                 self.pieces[p] = raw[begin:end]
                 begin = end
+        self._count(new)
+
+    def _count(self, pieces: list[str]) -> None:
         # An entry of the memo takes some 200 bytes beside its text and ids.
-        self.used += sum(200 + 2 * len(p) + len(self.pieces[p]) for p in new)
+        self.used += 200 * len(pieces) + 2 * sum(map(len, pieces)) + sum(map(len, map(self.pieces.__getitem__, pieces)))
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct words one after another, and where those of each begin."""
-        if self.used > self.room:
-            self.pieces.clear()
-            self.used = 0
+        if 2 * self.used > self.room:
+            self.old, self.pieces, self.used = self.pieces, {}, 0
         text = "\n".join(words)
         odd = {i: self._whole(w) for i, w in enumerate(words) if _ODD.search(w)} if _ODD.search(text) else {}
         if odd:
@@ -80,6 +84,10 @@ class Encoder:
         flat = _PIECE_OR_END.findall(text.lower())
         new = set(flat).difference(self.pieces)
         new.discard("\n")
+        known = list(new.intersection(self.old))
+        self.pieces.update(zip(known, map(self.old.__getitem__, known)))
+        self._count(known)
+        new.difference_update(known)
         if new:
             self._learn(list(new))
         self.pieces["\n"] = _MARK.tobytes()
