@@ -47,6 +47,64 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
+def test_pipeline_values(spark, tmp_path):
+    """The rows of the whole run against each stage's rule by hand; of the mix, how often a document is taken comes from its plan."""
+    import random
+    import zlib
+    from collections import Counter
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from sortwright.llm import mixing
+
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(500)]
+    exam = " ".join(f"q{i}" for i in range(20))
+    texts = [" ".join(rng.choices(words, k=rng.randint(60, 150))) for _ in range(30)]
+    near = [t.replace(t.split()[30], "Changed", 1) for t in texts[:6]]
+    far = [" ".join(t.split()[:40] + rng.choices(words, k=60)) for t in texts[6:9]]
+    dirty = [f"{exam} " + " ".join(rng.choices(words, k=n)) for n in (30, 300, 500)]
+    rows = [(i, t, f"s{i % 3}" if i % 7 else None) for i, t in enumerate([*texts, *near, texts[3].upper(), *far, *dirty, "", None, "few words"])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, exam.upper()), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = {i: shingles(t) for i, t, _ in rows}, {i: i for i, _, _ in rows}
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    one = [r for r in rows if root[r[0]] == r[0]]
+    assert len(one) == len(rows) - 7
+
+    def hits(t):
+        w, q = (t or "").split(), exam.split()
+        inside = set()
+        for a in range(len(q) - 12):
+            inside |= {k for i in range(len(w)) if [x.lower() for x in w[i : i + 13]] == q[a : a + 13] for k in range(i, i + 13)}
+        return len(inside), len(w)
+
+    clean = [r for r in one if not hits(r[1])[0] or 20 * hits(r[1])[0] < hits(r[1])[1]]
+    assert len(clean) == len(one) - 2
+    plan = mixing.mix(spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in clean], schema)).collect()
+    times = {r["doc_id"]: r["times"] for r in plan}
+    tokenizer = Tokenizer.from_file(queries.vocabulary_path())
+    start, want = 0, []
+    for i, t, _ in clean:
+        for _ in range(times[i]):
+            ids = np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
+            want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+            start += len(ids)
+    assert max(times.values()) > 1 and Counter(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == Counter(want)
+
+
 def test_toxicity_query(spark):
     found = queries.op4_toxicity(spark, SMALL)
     assert found.count() == queries.table(spark, SMALL, "documents").count() and found.where("severity < 0 or p_toxic > 1").count() == 0
