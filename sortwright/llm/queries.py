@@ -24,14 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def token_file(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def token_file(spark: SparkSession, docs: DataFrame, **options: int) -> DataFrame:
     path = Workspace(spark, "token-file", lasting=True).path
-    huffman.write_tokens(docs, path, vocabulary_path())
+    huffman.write_tokens(docs, path, vocabulary_path(), **options)
     return huffman.read_digests(spark, path)
 
 
 def op1_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_file(spark, table(spark, sf_dir, "documents"))
+    return token_file(spark, table(spark, sf_dir, "documents"), text_bytes=2 << 20)
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
