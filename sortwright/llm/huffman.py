@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 from ._stage import Workspace
-from .tokens import encoder
+from .tokens import MEMO_BYTES, encoder
 
 LIMIT = 16
 MARK = 64
@@ -129,10 +129,10 @@ def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Itera
         row = stop
 
 
-def _tokens(path: str, end_id: int, width: str, text_bytes: int):
+def _tokens(path: str, end_id: int, width: str, text_bytes: int, memo_bytes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(path, memo_bytes)
         for batch in batches:
             for part in slices(batch, "text", text_bytes):
                 ids, at = own.encode(part.column("text"))
@@ -218,16 +218,16 @@ def _digest(code: Code):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, limit: int = LIMIT, block_ids: int = BLOCK_IDS, text_bytes: int = SLICE_BYTES) -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, limit: int = LIMIT, block_ids: int = BLOCK_IDS, text_bytes: int = SLICE_BYTES, memo_bytes: int = MEMO_BYTES) -> None:
     """Encodes every text with the vocabulary file, appends end_id and writes the file format to path.
 
-    text_bytes are encoded at once in each Python worker: more take less time and more memory.
+    text_bytes are encoded at once in each Python worker, whose memo holds memo_bytes: more take less time and more memory.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "tokens")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     width = _width(vocabulary, end_id)
-    tokens = work.save(docs.mapInArrow(_tokens(vocabulary, end_id, width, text_bytes), "doc_id long, ids binary"), "ids")
+    tokens = work.save(docs.mapInArrow(_tokens(vocabulary, end_id, width, text_bytes, memo_bytes), "doc_id long, ids binary"), "ids")
     # At most one row for each id of the vocabulary comes to the driver.
     counts = tokens.select("ids").mapInArrow(_count(width), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values("id")
     ids, n = counts["id"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)

@@ -31,7 +31,7 @@ def token_file(spark: SparkSession, docs: DataFrame, **options: int) -> DataFram
 
 
 def op1_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_file(spark, table(spark, sf_dir, "documents"), text_bytes=2 << 20)
+    return token_file(spark, table(spark, sf_dir, "documents"), text_bytes=2 << 20, memo_bytes=96 << 20)
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

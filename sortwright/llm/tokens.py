@@ -31,7 +31,7 @@ _ODD = re.compile("[^\t-\r " + "".join(re.escape(c) for c in _plain) + "]|<\\|")
 #: Stands for the end of a word among its ids.
 _MARK = np.array(0xFFFFFFFF, "<u4")
 #: What the memo of a worker may hold.
-MEMO_BYTES = 96 << 20
+MEMO_BYTES = 48 << 20
 
 
 class Encoder:
@@ -117,5 +117,5 @@ class Encoder:
         return ids[np.repeat(begin[word] - (end - size), size) + np.arange(end[-1], dtype=np.int32)], at.astype(np.int64)
 
 
-def encoder(path: str) -> Encoder:
-    return held("encoder", path, lambda: Encoder(path))
+def encoder(path: str, memo: int = MEMO_BYTES) -> Encoder:
+    return held("encoder", (path, memo), lambda: Encoder(path, memo))
