@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -75,3 +77,25 @@ def test_defined_cases(spark):
         knn.nearest_by_blocks(d, e, 2)
     assert knn.nearest_by_blocks(d, e.limit(0), 2).first()["nearest"] == []
     assert knn.nearest_by_blocks(d.limit(0), e.limit(1), 2).collect() == []
+
+
+def written(spark):
+    """Bytes of shuffle files that this application has written so far."""
+    time.sleep(1)
+    seen = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(seen.apply(i).totalShuffleWrite() for i in range(seen.size()))
+
+
+@pytest.mark.parametrize("held", [1 << 26, 9_000])
+def test_small_blocks_write_no_square(spark, held, monkeypatch):
+    """Blocks of single examples, with all of them in one part and in several: a row is dealt once, not once for each block."""
+    monkeypatch.setattr(knn, "BYTES", held)
+    rng = np.random.default_rng(3)
+    vecs = [v.tolist() for v in rng.normal(size=(500, 6)).round(1)]
+    examples = [(i, "c", v) for i, v in enumerate(vecs)]
+    d, e = frames(spark, list(enumerate(vecs)), examples)
+    before = written(spark)
+    rows = knn.nearest_by_blocks(d, e, 3, size=64).collect()
+    assert written(spark) - before < 1_000_000
+    want = brute(list(enumerate(vecs)), examples, 3)
+    assert {r["id"]: [n["seq"] for n in r["nearest"]] for r in rows} == want
