@@ -6,9 +6,10 @@ n-grams, of the log ratio of the two probabilities. Every document is kept or no
 threshold on its own score, so reruns and other documents' order do not matter. Where judged documents
 are given, the threshold is the one with the fewest of them on the wrong side (see ``threshold_of``).
 
-The target is counted on at most ``MAX_TRUSTED`` trusted documents, chosen by a hash of the id; the corpus on all.
-The threshold is found on at most ``MAX_JUDGED`` judged ids, chosen in the same way.
-The bucket weights are the only other thing sent to all tasks: ``BUCKETS`` numbers, whatever the input. Of a million
+The target is counted on all trusted documents, the corpus on all there are, and the threshold is found on all that are judged: what
+was measured of each document is written down, joined with the judgements by id, and counted by score.
+Up to ``MAX_SENT`` trusted ids are sent to the texts; more of them meet the texts by a shuffle.
+The bucket weights are sent to all tasks: ``BUCKETS`` numbers, whatever the input. Of a million
 different n-grams about 15 share a bucket; frequent ones outweigh the rest of theirs.
 
 Defined cases: a null text has no words; a text without words scores 0; null labels are left out and a
@@ -26,11 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._native import SPACE, count, let
+from ._stage import Workspace
 
 BUCKETS = 1 << 16
 THRESHOLD = -0.15
-MAX_TRUSTED = 20_000
-MAX_JUDGED = 20_000
+#: Ids that are broadcast: some tens of MB.
+MAX_SENT = 1_000_000
 #: Scores are told apart by this much when the threshold is sought.
 STEP = 1e-3
 
@@ -87,13 +89,14 @@ def repeated_triples(hashed: Column, paired: Column) -> Column:
     return of(hashed)
 
 
-def weights(docs: DataFrame, trusted: DataFrame, doc_id: str, text: str, trusted_id: str, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> list[float]:
+def weights(docs: DataFrame, trusted: DataFrame, doc_id: str, text: str, trusted_id: str, buckets: int = BUCKETS) -> list[float]:
     """The log ratio of each bucket: trusted against all documents, both with one added to each count."""
-    # At most max_trusted ids, so they may be broadcast.
-    good = trusted.select(F.col(trusted_id).cast("long").alias("_id")).where("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(max_trusted).withColumn("_good", F.lit(1))
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), let(hashes(words(F.col(text).cast("string"))), lambda h: F.concat(h, pairs(h))).alias("g"))
+    good = Workspace(docs.sparkSession, "trusted").save(trusted.select(F.col(trusted_id).cast("long").alias("_id")).where("_id is not null").distinct(), "ids").withColumn("_good", F.lit(1))
+    good = F.broadcast(good) if good.count() <= MAX_SENT else good.hint("merge")
+    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text")).join(good, "_id", "left")
+    rows = rows.select("_good", let(hashes(words(F.col("_text"))), lambda h: F.concat(h, pairs(h))).alias("g"))
     # Each document's n-grams are counted where it is read; what moves is a row per bucket and task.
-    found = rows.join(F.broadcast(good), "_id", "left").select("_good", F.explode("g").alias("x")).groupBy(_bucket(F.col("x"), buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.count("_good").alias("t")).collect()
+    found = rows.select("_good", F.explode("g").alias("x")).groupBy(_bucket(F.col("x"), buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.count("_good").alias("t")).collect()
     n, t = [1] * buckets, [1] * buckets
     for r in found:
         n[r["bucket"]] += r["n"]
@@ -141,14 +144,12 @@ def best_cut(bins: dict[int, tuple[int, int]]) -> int | None:
     return (low + high) // 2
 
 
-def threshold_of(docs: DataFrame, judged: DataFrame, weight: list[float], doc_id: str, text: str, judged_id: str, good: str, max_judged: int = MAX_JUDGED) -> float | None:
+def threshold_of(measured: DataFrame, judged: DataFrame, judged_id: str, good: str) -> float | None:
     """The threshold with the fewest judged documents on the wrong side, among those that pass the base rules."""
-    some = judged.select(F.col(judged_id).cast("long").alias("_id"), F.col(good).cast("boolean").alias("_good")).where("_id is not null and _good is not null").distinct().orderBy(F.xxhash64("_id"), "_id", "_good").limit(max_judged)
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).join(F.broadcast(some), "_id")
-    # Rows that fail are told apart by the grouping: a filter would move below the join and measure every document.
-    scored = rows.select("_good", _measured(F.col("_text"), weight).alias("m"))
-    found = scored.groupBy(F.floor(F.col("m.score") / STEP).alias("bin"), _failed().alias("failed")).agg(F.count_if("_good").alias("g"), F.count_if(~F.col("_good")).alias("b")).collect()
-    cut = best_cut({r["bin"]: (r["g"], r["b"]) for r in found if not r["failed"]})
+    opinions = judged.select(F.col(judged_id).cast("long").alias("doc_id"), F.col(good).cast("boolean").alias("_good")).where("doc_id is not null and _good is not null").distinct()
+    scored = measured.where("not base_failed").select("doc_id", F.floor(F.col("score") / STEP).alias("bin")).join(opinions, "doc_id")
+    found = scored.groupBy("bin").agg(F.count_if("_good").alias("g"), F.count_if(~F.col("_good")).alias("b")).collect()
+    cut = best_cut({r["bin"]: (r["g"], r["b"]) for r in found})
     return None if cut is None else cut * STEP
 
 
@@ -159,10 +160,6 @@ def quality(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: s
     threshold where there are some of both kinds.
     """
     weight = weights(docs, trusted, doc_id, text, trusted_id, buckets)
-    found = None if judged is None else threshold_of(docs, judged, weight, doc_id, text, judged_id, good)
-    if judged is not None and found is None:
-        warnings.warn(f"no documents judged both ways: the fixed threshold {threshold} holds", stacklevel=2)
-    threshold = threshold if found is None else found
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     lines = F.filter(F.split(content, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = docs.select(
@@ -171,5 +168,12 @@ def quality(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: s
         count(content, "[#*$%&|<>]").alias("n_symbols"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
     )
-    failed = _failed()
-    return out.select("doc_id", "m.n_words", "word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words", failed.alias("base_failed"), "m.score", (~failed & (F.col("m.score") >= threshold)).alias("kept"))
+    out = out.select("doc_id", "m.n_words", "word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words", _failed().alias("base_failed"), "m.score")
+    if judged is not None:
+        out = Workspace(docs.sparkSession, "quality").save(out, "measured")
+        found = threshold_of(out, judged, judged_id, good)
+        if found is None:
+            warnings.warn(f"no documents judged both ways: the fixed threshold {threshold} holds", stacklevel=2)
+        else:
+            threshold = found
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))

@@ -14,6 +14,7 @@ import pytest
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -459,6 +460,19 @@ def quality_by_force(rows, trusted, buckets):
     return [(i, sum(weight[x] for x in g) / len(g) if g else 0.0) for (i, _, _), g in zip(rows, grams)]
 
 
+@pytest.mark.parametrize("sent", [1_000_000, 1000])
+def test_quality_counts_every_label(spark, sent, monkeypatch):
+    """The first 20,000 ids by their hash speak against the plain texts, the other 5,000 for them; and all ids are trusted."""
+    monkeypatch.setattr(likelihood, "MAX_SENT", sent)
+    fancy, plain = (" ".join(f"{x}{j}" for j in range(60)) for x in "fp")
+    order = F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = spark.range(25_000).select(F.col("id").alias("doc_id")).withColumn("at", order)
+    rows = ids.select("doc_id", F.when((F.col("at") > 20_000) | (F.col("at") <= 10), plain).otherwise(fancy).alias("text"), F.lit("s").alias("source"), "at")
+    found = likelihood.quality(rows, rows.where("at between 11 and 2000"), judged=rows.select("doc_id", (F.col("at") > 10).alias("good")))
+    assert found.where("kept").count() == 25_000
+    assert set(likelihood.weights(rows, rows, "doc_id", "text", "doc_id", 1 << 12)) == {0.0}
+
+
 def test_quality_scores_and_verdicts(spark):
     rows = corpus(2) + [(500 + i, " ".join(f"@@{i}{j}" for j in range(80)), "junk") for i in range(8)]
     good = set(range(20)) | set(range(100, 110))
