@@ -58,20 +58,24 @@ class Encoder:
         parts = [new[i : i + 512] for i in range(0, len(new), 512)]
         found = [np.array(self.own.encode_batch_fast([" ".join(p)], add_special_tokens=False)[0].ids, "<u4") for p in parts]
         self.own.normalizer, self.own.pre_tokenizer = self.usual
+        size = 0
         for part, ids in zip(parts, found):
             cut = (np.flatnonzero(self.last[ids]) + 1) * 4
             if len(cut) != len(part):
-                self.pieces.update((p, self._whole(p)) for p in part)
+                whole = list(map(self._whole, part))
+                self.pieces.update(zip(part, whole))
+                size += sum(map(len, whole))
                 continue
             raw, begin = ids.tobytes(), 0
+            size += len(raw)
             for p, end in zip(part, cut.tolist()):
                 self.pieces[p] = raw[begin:end]
                 begin = end
-        self._count(new)
+        self._count(new, size)
 
-    def _count(self, pieces: list[str]) -> None:
+    def _count(self, pieces: list[str], size: int) -> None:
         # An entry of the memo takes some 200 bytes beside its text and ids.
-        self.used += 200 * len(pieces) + 2 * sum(map(len, pieces)) + sum(map(len, map(self.pieces.__getitem__, pieces)))
+        self.used += 200 * len(pieces) + 2 * len("".join(pieces)) + size
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct words one after another, and where those of each begin."""
@@ -84,10 +88,13 @@ class Encoder:
         flat = _PIECE_OR_END.findall(text.lower())
         new = set(flat).difference(self.pieces)
         new.discard("\n")
-        known = list(new.intersection(self.old))
-        self.pieces.update(zip(known, map(self.old.__getitem__, known)))
-        self._count(known)
-        new.difference_update(known)
+        # An intersection with a dictionary would walk all of it.
+        known = list(filter(self.old.__contains__, new))
+        if known:
+            again = list(map(self.old.__getitem__, known))
+            self.pieces.update(zip(known, again))
+            self._count(known, len(b"".join(again)))
+            new.difference_update(known)
         if new:
             self._learn(list(new))
         self.pieces["\n"] = _MARK.tobytes()
@@ -114,7 +121,9 @@ class Encoder:
         size = np.diff(begin)[word]
         end = np.cumsum(size, dtype=np.int32)
         at = np.concatenate([[0], end])[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        return ids[np.repeat(begin[word] - (end - size), size) + np.arange(end[-1], dtype=np.int32)], at.astype(np.int64)
+        place = np.repeat(begin[word] - (end - size), size)
+        place += np.arange(end[-1], dtype=np.int32)
+        return ids.take(place), at.astype(np.int64)
 
 
 def encoder(path: str, memo: int = MEMO_BYTES) -> Encoder:

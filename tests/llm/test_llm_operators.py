@@ -660,3 +660,23 @@ def test_secrets(spark):
         want[i, tuple((k, s, e) for s, _, k, e in sorted(spans))] += 1
     assert found == want
     assert secrets.find_secrets(frame(spark, [])).collect() == []
+
+
+def test_memo_of_pieces_is_not_walked():
+    """Pieces in the older half of the memo are looked up one by one, and what the memo holds is counted right."""
+    from sortwright.llm.tokens import Encoder
+
+    class Held(dict):
+        def __iter__(self):
+            raise AssertionError("walked")
+
+    def counted(pieces):
+        return sum(200 + 2 * len(p) + len(ids) for p, ids in pieces.items() if p != "\n")
+
+    own = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    first, _ = own._words(["alpha", "beta"])
+    assert own.used == counted(own.pieces)
+    own.old, own.pieces, own.used = Held(own.pieces), {}, 0
+    ids, at = own._words(["alpha", "gamma", "beta"])
+    assert own.used == counted(own.pieces)
+    assert first.tolist() == [*ids[at[0] : at[1]], *ids[at[2] : at[3]]]
