@@ -633,6 +633,68 @@ def test_a_long_run_is_no_square(spark):
     assert time.time() - began < 120
 
 
+def lines_by_all_pairs(rows, gram=winnow.GRAM, span=winnow.SPAN, heavy=winnow.HEAVY, long=winnow.LONG):
+    """The rule for every earlier place by hand: each text beside each before it and itself, diagonal by diagonal."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    docs = []
+    for i, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        full = [(k, s) for k, x in enumerate((t or "").split("\n")) if (s := x.strip(" \t\n\v\f\r"))]
+        keys = [md5(x) for _, x in full]
+        grams = [md5("\n".join([keys[p + j] if p + j < len(keys) else "" for j in range(gram)])) for p in range(len(keys))]
+        chosen = {min((grams[q], q) for q in range(p, min(p + span, len(grams)))) for p in range(max(len(grams) - span, 0) + 1) if grams}
+        chosen |= {(md5("\n".join([keys[p]] + [""] * (gram - 1))), p) for p, (_, x) in enumerate(full) if len(x) >= heavy}
+        docs.append((i, full, chosen))
+    result = {}
+    for d, (i, full, chosen) in enumerate(docs):
+        own, gone = [x for _, x in full], set()
+        for b, (_, far, theirs) in enumerate(docs[: d + 1]):
+            other = [x for _, x in far]
+            for shift in range(-len(own) + 1, len(other) if b < d else 0):
+                lo = max(0, -shift)
+                while lo < min(len(own), len(other) - shift):
+                    hi = lo
+                    while hi < min(len(own), len(other) - shift) and own[hi] == other[hi + shift]:
+                        hi += 1
+                    if any(lo <= p < hi and (g, p + shift) in theirs for g, p in chosen) and (hi - lo >= min(gram + span - 1, len(own)) or sum(map(len, own[lo:hi])) >= long):
+                        gone.update(range(lo, hi))
+                    lo = max(hi, lo + 1)
+        result[i] = (len(full), len(gone), sorted(full[k][0] for k in gone))
+    return result
+
+
+def test_runs_at_second_places(spark):
+    """Runs of four lines of which three stand in a text before the one that holds all four, and a short document with a partner only behind the first."""
+    rows = []
+    for i in range(40):
+        a = [f"run {i} line {j}" for j in range(4)]
+        rows += [(3 * i, "\n".join([*a[:3], "other"]), "s"), (3 * i + 1, "\n".join([f"before {i}", *a, "after"]), "s"), (3 * i + 2, "\n".join([f"top {i}", *a, f"end {i}"]), "s")]
+    found = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["removed"]) for r in winnow.repeated_lines(frame(spark, rows), every=True).collect()}
+    assert found == lines_by_all_pairs(rows)
+    assert all(found[3 * i + 2][2] == [1, 2, 3, 4] for i in range(40))
+    # The first places alone do not find them all.
+    assert any(lines_by_force(rows)[3 * i + 2][1] == 0 for i in range(40))
+
+
+@pytest.mark.parametrize(("seed", "gram", "span"), [(1, 2, 3), (2, 2, 3), (3, 1, 1), (4, 3, 2), (5, 1, 3)])
+def test_every_place_by_force(spark, seed, gram, span):
+    rng = random.Random(seed)
+    lines = ["a", "b", "-----", "h" * 120, "k " * 90, *[f"other {i}" for i in range(4)]]
+    rows = [(i, "\n".join(runs(rng, lines[: rng.choice([1, 2, 5, 9])], rng.randint(1, 6), rng.choice([1, 3, 9]))), "s") for i in range(60)]
+    rows += [(200, "a\nb\n" * 20, "s"), (201, None, "s"), (202, "", "s"), (None, "b\n\n a\nb", "s"), (203, "b\na\nb", "s"), (204, "x\nb\na", "s")]
+    found = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["removed"]) for r in winnow.repeated_lines(frame(spark, rows), gram=gram, span=span, every=True).collect()}
+    want = lines_by_all_pairs(rows, gram=gram, span=span)
+    assert {i: found[i] for i in want if found[i] != want[i]} == {} and found.keys() == want.keys()
+    assert winnow.repeated_lines(frame(spark, []), every=True).collect() == []
+
+
+def test_turns_of_lines_are_no_square(spark):
+    rows = [(1, "one\ntwo\nthree\n" * 12_000, "s"), (2, "before\n" + "one\ntwo\nthree\n" * 9_000 + "after", "s"), (3, "again\n" * 30_000, "s")]
+    began = time.time()
+    found = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in winnow.repeated_lines(frame(spark, rows), every=True).select("doc_id", "n_lines", "n_removed").collect()}
+    assert found == {1: (36_000, 35_997), 2: (27_002, 27_000), 3: (30_000, 29_999)}
+    assert time.time() - began < 120
+
+
 # Secrets
 
 
